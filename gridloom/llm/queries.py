@@ -3,27 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sigjoin
+from . import recompress, sigjoin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = recompress.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigjoin.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85, min_match=16)
 
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
-QUERIES = {"op8_near_duplicates": op8_near_duplicates}
+QUERIES = {"op5_substring_dedup": op5_substring_dedup, "op8_near_duplicates": op8_near_duplicates}
 
 ORACLE_SQL = {
+    "op5_substring_dedup": r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+k AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS i,
+         unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h
+  FROM w WHERE len(w) >= 50),
+f AS (SELECT h, min(doc_id) AS f FROM k GROUP BY h),
+c AS (SELECT DISTINCT k.doc_id, k.i + j.j AS p FROM k JOIN f ON f.h = k.h AND f.f < k.doc_id, (SELECT unnest(range(0, 50)) AS j) j),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM w),
+r AS (
+  SELECT p.doc_id, count(c.p) AS n_removed, string_agg(p.word, ' ' ORDER BY p.p) FILTER (WHERE c.p IS NULL) AS kept
+  FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.p = p.p GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(r.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+FROM w LEFT JOIN r ON r.doc_id = w.doc_id
+""",
     "op8_near_duplicates": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' '))
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
                                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 e AS (
