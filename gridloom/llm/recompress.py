@@ -8,9 +8,10 @@ round has to exchange names; and whether two symbols join depends on these two a
 cut alike except near their ends. By the lengths that symbols can have before each round, at most
 2 + 2 + 4 = 8 words at either end of a passage are cut differently; a window of 50 words keeps 34 that are
 not, and of the symbols that begin among them the one with the least hashed name is the window's anchor.
-Equal windows thus always have equal anchors.
+Equal windows thus always have equal anchors, in equal contexts: the 22 words about an anchor that every
+window which has it holds.
 
-1. Anchors are posted once for each text; those of a single text are dropped. The name of a whole text
+1. Anchors are posted in their contexts, once for each text; those of a single text are dropped. The name of a whole text
    (its top symbol) is posted as well: a text that repeats an earlier one is all repeat.
 2. Only windows under a shared anchor are named by 96 bits of their words, and the windows whose name
    starts in a smaller doc_id are kept as repeats.
@@ -36,10 +37,13 @@ from . import textkit as tk
 MAX_LEN, EDGE = 6, 8
 #: Windows that a task compares among themselves before it sends them on.
 COMBINE = 1 << 20
+#: Key of rows without a doc_id.
+NOWHERE = -(1 << 63)
 #: Shortest window for which the anchor of a window is sure to exist.
 LEAST_WINDOW = 2 * EDGE + 2 * MAX_LEN
 
 _LEFT, _RIGHT = np.uint64(0xD1B54A32D192ED03), np.uint64(0xABC98388FB8FAC03)
+_RANK, _PLACE = np.uint64(0x2545F4914F6CDD1D), np.uint64((1 << 24) - 1)
 _BASE2 = np.uint64(0xC6A4A7935BD1E995)
 _IBASE2 = np.uint64(pow(int(_BASE2), -1, 1 << 64))
 
@@ -85,14 +89,21 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(w: tk.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, anchor) of every window of the texts."""
+    """(text, first word, name of the anchor in its context) of every window of the texts.
+
+    The context are the words about the anchor that every window with this anchor holds.
+    """
     name, start, _ = symbols(w)
+    reach = window - 2 * EDGE - MAX_LEN + 1  # first words that an anchor may have
+    if len(w.hash) >> 24:
+        raise ValueError("a text has more than 16 million words")
+    # rank by name, then by place, so that of equal symbols the first counts
     rank = np.full(len(w.hash), np.iinfo(np.uint64).max, dtype=np.uint64)
-    rank[start] = tk.mix(name ^ np.uint64(0x2545F4914F6CDD1D))
-    low = sliding_min(rank[EDGE:], window - 2 * EDGE - MAX_LEN + 1)
-    doc = w.doc_of_word()
-    at = np.flatnonzero(np.arange(len(doc)) + window <= w.first[1:][doc])
-    return doc[at], at, low[at]
+    rank[start] = (tk.mix(name ^ _RANK) & ~_PLACE) | start.astype(np.uint64)
+    at = np.flatnonzero(np.arange(len(w.hash)) + window <= np.repeat(w.first[1:], w.counts))
+    anchor = (sliding_min(rank[EDGE:], reach)[at] & _PLACE).astype(np.int64)
+    held = window - (EDGE + reach - 1)  # words from an anchor's first on that all its windows hold
+    return w.doc_of_word()[at], at, tk.span(tk.rolling(w.hash), anchor - EDGE, anchor + held)
 
 
 def _whole(w: tk.Words) -> np.ndarray:
@@ -243,7 +254,7 @@ def _windows(found: DataFrame, window: int) -> DataFrame:
             if parts:
                 yield from combined(parts)
 
-    return found.select("doc_id", "text", "names").mapInArrow(run, "h1 long, h2 int, doc_id long, at int, done binary")
+    return found.select("key", "text", "names", "rest").mapInArrow(run, "h1 long, h2 int, doc_id long, at int, done binary")
 
 
 def _repeats(named: DataFrame) -> DataFrame:
@@ -292,12 +303,14 @@ def remove_repeats(docs: DataFrame, *, window: int = 50) -> DataFrame:
     if window < LEAST_WINDOW:
         raise ValueError(f"window must be {LEAST_WINDOW} words or more")
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    names = _settle(_posted(keyed, window)).groupBy("doc_id").agg(F.collect_list(F.struct("name", "later")).alias("names"))
-    repeats = _repeats(_windows(keyed.join(names, "doc_id"), window)).groupBy("doc_id").agg(F.collect_list("at").alias("gone"))
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    joined = docs.select("*").join(repeats.withColumnRenamed("doc_id", "__doc"), F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
-    packed = joined.select("text", "gone", F.struct("doc_id", *rest).alias("rest"))
+    # both joins read the texts under a key that is never null and with all columns, so that one exchange serves them
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOWHERE)).alias("key"), "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"))
+    posted = _posted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), window)
+    names = _settle(posted).groupBy("doc_id").agg(F.collect_list(F.struct("name", "later")).alias("names"))
+    names = names.select(F.coalesce("doc_id", F.lit(NOWHERE)).alias("key"), "names")
+    repeats = _repeats(_windows(keyed.join(names, "key"), window)).groupBy("doc_id").agg(F.collect_list("at").alias("gone"))
+    repeats = repeats.select(F.coalesce("doc_id", F.lit(NOWHERE)).alias("key"), "gone")
+    packed = keyed.join(repeats, "key", "left").select("text", "gone", "rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
