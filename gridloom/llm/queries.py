@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import recompress, sigjoin
+from . import mixing, recompress, sigjoin, weakrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = weakrules.judge(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = recompress.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -21,9 +26,19 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigjoin.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85, min_match=16)
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.copies(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
+
+
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
-QUERIES = {"op5_substring_dedup": op5_substring_dedup, "op8_near_duplicates": op8_near_duplicates}
+QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op8_near_duplicates": op8_near_duplicates,
+    "op10_source_mixing": op10_source_mixing,
+}
 
 ORACLE_SQL = {
     "op5_substring_dedup": r"""
@@ -54,5 +69,30 @@ e AS (
 r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v WHERE r.c < e.b)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) m ON m.v = d.doc_id
+""",
+    "op10_source_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+p AS (
+  SELECT *, length(bin(size + 1)) * 8 + CAST('0b' || rpad(substr(bin(size + 1), 2, 3), 3, '0') AS INTEGER) AS size_class,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-')), 1, 6) AS BIGINT) % 64 AS spread FROM d),
+s AS (
+  SELECT source, sum(size) AS source_size, (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END) AS weight
+  FROM p GROUP BY source),
+l AS (
+  SELECT a.source, (SELECT arg_min(x, edge) FROM (
+      SELECT greatest(3e0 * c.source_size / c.weight, 0) AS edge,
+             ((SELECT sum(source_size) FROM s) - coalesce((SELECT sum(3e0 * b.source_size) FROM s b WHERE 3e0 * b.source_size / b.weight < 3e0 * c.source_size / c.weight), 0))
+             / (SELECT sum(b.weight) FROM s b WHERE 3e0 * b.source_size / b.weight >= 3e0 * c.source_size / c.weight) AS x
+      FROM s c) WHERE x <= edge) AS level FROM s a),
+g AS (
+  SELECT s.source, CAST(s.source_size AS BIGINT) AS source_size, CAST(CASE WHEN level IS NULL THEN 3e0 * s.source_size ELSE least(3e0 * s.source_size, weight * level) END AS DOUBLE) AS target
+  FROM s JOIN l ON s.source IS NOT DISTINCT FROM l.source),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size_class, spread, size, doc_id) AS rank FROM p),
+r AS (
+  SELECT n.doc_id, n.size, g.source_size, g.target, n.rank, CASE WHEN g.source_size > 0 THEN least(g.target / g.source_size, 3e0) ELSE 0e0 END AS rate,
+         (CAST('0x' || substr(md5('0:' || coalesce('s' || n.source, 'n')), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0 AS o
+  FROM n JOIN g ON n.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(size * least(floor(o + rate * rank) - floor(o + rate * (rank - 1)), 3) AS BIGINT) AS taken FROM r
 """,
 }
