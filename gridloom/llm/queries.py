@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, recompress, sigjoin, weakrules
+from . import mixing, recompress, reply_trees, seqpack, sigjoin, splitters, urlrules, weakrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe)
+    return reply_trees.read_back(reply_trees.conversations(reply_trees.chains(rows)))
+
+
+def _encoder():
+    import public_tokenizers as public
+
+    return seqpack.byte_bpe(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+
+
+def op2_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seqpack.pack_documents(_table(spark, sf_dir, "documents"), _encoder, window=2048, end_id=1, with_ids=False)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = weakrules.judge(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
@@ -22,10 +39,19 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(_table(spark, sf_dir, "pages"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigjoin.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85, min_match=16)
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = splitters.shard(_table(spark, sf_dir, "documents"), n_shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.copies(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
@@ -34,13 +60,33 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op2_sequence_packing": op2_sequence_packing,
     "op3_quality_rules": op3_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_url_filters": op6_url_filters,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_sharding": op9_sharding,
     "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLE_SQL = {
+    "op1_chat_formatting": r"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
+         coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+e AS (
+  SELECT *, length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?ROLE\]|/?INST\])', '\1\\\2\3', 'g')) AS er,
+         length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?ROLE\]|/?INST\])', '\1\\\2\3', 'g')) AS et FROM n)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(9 + er + 7 + et + 4) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""",
     "op5_substring_dedup": r"""
 WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 k AS (
@@ -94,5 +140,34 @@ r AS (
          (CAST('0x' || substr(md5('0:' || coalesce('s' || n.source, 'n')), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0 AS o
   FROM n JOIN g ON n.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, CAST(size * least(floor(o + rate * rank) - floor(o + rate * (rank - 1)), 3) AS BIGINT) AS taken FROM r
+""",
+    "op6_url_filters": r"""
+WITH p AS (
+  SELECT page_id, row_number() OVER () AS id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+t AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
+         list_sort(list_distinct(list_concat(
+           list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
+           list_transform(list_filter(string_split(path, '/'), lambda x: x <> '' AND NOT regexp_matches(x, '[0-9]')), lambda x: 'p:' || x)))) AS tokens FROM p),
+v AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS said FROM t),
+u AS (SELECT id, said, unnest(tokens) AS token FROM v),
+k AS (SELECT * FROM u WHERE said IS NOT NULL),
+c AS (
+  SELECT id, said, [token] AS a FROM k
+  UNION ALL SELECT x.id, x.said, [x.token, y.token] FROM k x JOIN k y ON y.id = x.id AND y.token > x.token
+  UNION ALL SELECT x.id, x.said, [x.token, y.token, z.token] FROM k x JOIN k y ON y.id = x.id AND y.token > x.token JOIN k z ON z.id = x.id AND z.token > y.token),
+m AS (SELECT ceil(0.01e0 * count(*)) AS least FROM v WHERE said IS NOT NULL AND len(tokens) > 0),
+r AS (
+  SELECT a, said AS label, count(*) AS support, count(*) / CAST(sum(count(*)) OVER (PARTITION BY a) AS DOUBLE) AS confidence FROM c GROUP BY a, said),
+g AS (SELECT r.* FROM r, m WHERE support >= least AND confidence >= 0.8e0),
+b AS (
+  SELECT v.id, arg_min(g.label, {'a': -confidence, 'b': -support, 'c': len(a), 'd': a}) AS label
+  FROM v JOIN g ON list_has_all(v.tokens, g.a) WHERE v.said IS NULL GROUP BY v.id)
+SELECT v.page_id, v.host, v.path, v.rule, coalesce(v.said, b.label, 'allow') AS verdict FROM v LEFT JOIN b ON b.id = v.id
 """,
 }
