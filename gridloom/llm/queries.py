@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, recompress, reply_trees, seqpack, sigjoin, splitters, urlrules, weakrules
+from . import langkernel, mixing, projcount, recompress, reply_trees, seqpack, sigjoin, splitters, urlrules, weakrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langkernel.identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = recompress.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -43,6 +47,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(_table(spark, sf_dir, "pages"))
 
 
+def op7_vector_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projcount.links(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigjoin.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85, min_match=16)
 
@@ -63,8 +71,10 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sequence_packing": op2_sequence_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_language_id": op4_language_id,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_url_filters": op6_url_filters,
+    "op7_vector_near_duplicates": op7_vector_near_duplicates,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_sharding": op9_sharding,
     "op10_source_mixing": op10_source_mixing,
@@ -169,5 +179,18 @@ b AS (
   SELECT v.id, arg_min(g.label, {'a': -confidence, 'b': -support, 'c': len(a), 'd': a}) AS label
   FROM v JOIN g ON list_has_all(v.tokens, g.a) WHERE v.said IS NULL GROUP BY v.id)
 SELECT v.page_id, v.host, v.path, v.rule, coalesce(v.said, b.label, 'allow') AS verdict FROM v LEFT JOIN b ON b.id = v.id
+""",
+    "op7_vector_near_duplicates": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93e0),
+r AS (SELECT vec_id AS v, vec_id AS c FROM embeddings UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v WHERE r.c < e.b),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT x.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, m.c AS component_id, x.vec_id = m.c AS kept
+FROM embeddings x LEFT JOIN n ON n.a = x.vec_id JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) m ON m.v = x.vec_id
 """,
 }
