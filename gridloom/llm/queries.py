@@ -19,14 +19,14 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.read_back(reply_trees.conversations(reply_trees.chains(rows)))
 
 
-def _encoder():
+def encoder():
     import public_tokenizers as public
 
     return seqpack.byte_bpe(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
 
 
 def op2_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seqpack.pack_documents(_table(spark, sf_dir, "documents"), _encoder, window=2048, end_id=1, with_ids=False)
+    return seqpack.pack_documents(_table(spark, sf_dir, "documents"), encoder, window=2048, end_id=1, with_ids=False)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

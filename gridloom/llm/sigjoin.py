@@ -250,6 +250,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, n_coo
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_one(docs: DataFrame, **options: object) -> DataFrame:
+    """The rows of docs that :func:`near_duplicates` keeps, with their columns; of rows equal in doc_id and text, one."""
+    kept = near_duplicates(docs, **options).where("kept").select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("__key")).distinct()
+    keyed = docs.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)), "__text": F.xxhash64("text")})
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key", "__text"]).drop("__key", "__text")
+
+
 def _verify(docs: DataFrame, reps: DataFrame, family: DataFrame, width: int, percent: int, n_coords: int, min_match: int, family_limit: int) -> DataFrame:
     member = reps.select(F.col("rep").alias("doc_id"), "set_a", "set_b", "n_shingles", "sig").join(family.select(F.col("v").alias("doc_id"), "root"), "doc_id")
     heavy = settle(member.groupBy("root").agg(F.sum("n_shingles").alias("n_words")).where(F.col("n_words") > family_limit))
