@@ -1,0 +1 @@
+"""Array operators as DataFrame expressions over pixel relations (raster_id, band, row, col, depth, value, valid)."""

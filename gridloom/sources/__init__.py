@@ -1,0 +1 @@
+"""Containers in files as a data source."""
