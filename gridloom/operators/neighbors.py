@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .layout import PIXEL, PLANE, TILE, tiled
 
-_ROW = Window.partitionBy(*PLANE, "row").orderBy("col")
-_COLUMN = Window.partitionBy(*PLANE, "col").orderBy("row")
+
+def _along(across: str, along: str):  # noqa: ANN202
+    return Window.partitionBy(*PLANE, across).orderBy(along)
 
 
 def neighbour_delta(pix: DataFrame) -> DataFrame:
@@ -16,9 +17,9 @@ def neighbour_delta(pix: DataFrame) -> DataFrame:
 
     Scan order runs over a whole plane, but only rows' last values have to be carried along it: one value a row.
     """
-    p = pix.where("valid")
+    p, rows, cols = pix.where("valid"), _along("row", "col"), _along("col", "row")
     near = lambda w, c: F.when(F.lag(c).over(w) == F.col(c) - 1, F.lag("value").over(w))
-    p = p.withColumns({"left": near(_ROW, "col"), "up": near(_COLUMN, "row"), "last": F.lag("value").over(_ROW)})
+    p = p.withColumns({"left": near(rows, "col"), "up": near(cols, "row"), "last": F.lag("value").over(rows)})
     ends = p.groupBy(*PLANE, "row").agg(F.max_by("value", "col").alias("end"))
     carried = F.lag("end").over(Window.partitionBy(*PLANE).orderBy("row"))
     ends = ends.withColumn("carried", carried).select(*PLANE, "row", "carried")
@@ -71,8 +72,9 @@ def entropy_bytes(df: DataFrame, byte: str, at: str, *keys: str, stride: int = 7
 
 def runs(pix: DataFrame, what: str = "valid") -> DataFrame:
     """Maximal runs of equal ``what`` along rows: first column, length."""
-    p = pix.withColumn("new", F.coalesce((F.col(what) != F.lag(what).over(_ROW)).cast("int"), F.lit(1)))
-    p = p.withColumn("run", F.sum("new").over(_ROW.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = _along("row", "col")
+    p = pix.withColumn("new", F.coalesce((F.col(what) != F.lag(what).over(rows)).cast("int"), F.lit(1)))
+    p = p.withColumn("run", F.sum("new").over(rows.rowsBetween(Window.unboundedPreceding, 0)))
     return p.groupBy(*PLANE, "row", "run").agg(F.first(what).alias(what), F.min("col").alias("col"), F.count("*").alias("length")).drop("run")
 
 

@@ -46,7 +46,7 @@ def r_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").withColumn("week", F.expr("datediff(l_shipdate, date'1992-01-01') div 7"))
+    li = table(spark, sf_dir, "lineitem").withColumn("week", F.expr("cast(datediff(l_shipdate, date'1992-01-01') div 7 as int)"))
     return li.groupBy("l_suppkey", "week").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("lines"), F.max("l_linenumber").alias("top_line"))
 
 
@@ -59,8 +59,8 @@ def r_li_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cells of r_li's rows; the missing ones invalid."""
     w = _weeks(spark, sf_dir)
     rows = w.groupBy("l_suppkey").agg(F.map_from_entries(F.collect_list(F.struct("week", "quantity"))).alias("cells"))  # as many as there are weeks
-    cells = rows.select("l_suppkey", "cells", F.explode(F.sequence(F.lit(FIRST_WEEK), F.lit(LAST_WEEK))).cast("bigint").alias("week"))
-    value = F.col("cells")[F.col("week")]
+    cells = rows.select("l_suppkey", "cells", F.explode(F.sequence(F.lit(FIRST_WEEK), F.lit(LAST_WEEK))).alias("week"))
+    value = F.element_at("cells", F.col("week"))
     return pixels(cells, "r_li", F.col("l_suppkey"), F.col("week"), F.coalesce(value, F.lit(0.0)), valid=value.isNotNull())
 
 
