@@ -86,7 +86,7 @@ WITH c AS (
   SELECT conv_id, turn, role, text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 n AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) AS k,
          coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
 e AS (
   SELECT *, length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?ROLE\]|/?INST\])', '\1\\\2\3', 'g')) AS er,

@@ -86,8 +86,10 @@ def best_paths(messages: DataFrame, *, top: int = 1, max_depth: int = 1 << 20) -
     # every distance from the leaf is a sum of distinct powers of two
     for k in reversed(range(len(jumps) - 1)):
         hop = jumps[k].where("jump is not null").select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "jump")
-        moved = paths.join(hop, (F.col("tree_id") == F.col("t")) & (F.col("node_id") == F.col("n"))).select("tree_id", "path_rank", (F.col("position") - (1 << k)).alias("position"), F.col("jump").alias("node_id"))
-        paths = paths.union(moved)
+        here = F.struct(F.col("position"), F.col("node_id"))
+        there = F.struct((F.col("position") - (1 << k)).alias("position"), F.col("jump").alias("node_id"))
+        both = paths.join(hop, (F.col("tree_id") == F.col("t")) & (F.col("node_id") == F.col("n")), "left")
+        paths = both.select("tree_id", "path_rank", F.explode(F.when(F.col("jump").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("x")).select("tree_id", "path_rank", "x.*")
     return paths
 
 
@@ -115,11 +117,11 @@ def conversations(messages: DataFrame, *, top: int = 1, learn: str = "assistant"
 def chains(rows: DataFrame) -> DataFrame:
     """Linear conversations (conv_id, turn, role, text) as reply trees: each message answers the one before it.
 
-    Turns that tie are ordered by role and text, nulls first, so repeated rows stay apart.
+    Turns that tie are ordered by role and a hash of the text, nulls first, so repeated rows stay apart.
     """
-    line = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    line = Window.partitionBy("conv_id").orderBy("turn", "role", "hash")
     at = F.row_number().over(line)
-    return rows.select(F.col("conv_id").alias("tree_id"), at.alias("node_id"), F.nullif(at - 1, F.lit(0)).alias("parent_id"), F.lit(0.0).alias("score"), "role", "text")
+    return rows.select("*", F.md5("text").alias("hash")).select(F.col("conv_id").alias("tree_id"), at.alias("node_id"), F.nullif(at - 1, F.lit(0)).alias("parent_id"), F.lit(0.0).alias("score"), "role", "text")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
