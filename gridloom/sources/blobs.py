@@ -1,9 +1,12 @@
 """``spark.read.format("gridloom")``: container files as headers or pixels, and a writer for blobs.
 
 Options: ``path`` (a file, folder or glob that all workers see), ``content`` = ``header`` (default), ``pixel`` or
-``blob``, ``recursive``. Files become partitions in groups. Filters on header fields (raster_id, sizes, z_min, z_max, ...)
-are pushed: a file whose header excludes a row is never decoded, and of a pixel scan only files
-whose value range can match ``value`` filters are. Headers are read from a file's first bytes where it is one band.
+``blob``, ``recursive``, ``filesperpartition``, and two that leave out whole files by their headers: ``valuemin`` and
+``valuemax`` (files none of whose values, 0 of invalid pixels included, lie in that range are never decoded). Headers are read
+from a file's first bytes where it is one band.
+
+Files are ruled out by options and not by pushed filters: Spark keeps what a Python reader was pushed with the
+DataFrame, so one that is used twice, first with a filter and then without, would miss rows the second time.
 """
 
 from __future__ import annotations
@@ -15,14 +18,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..functions import container
-from ..operators.codec import HEADER, HEADER_FIELDS, PIXELS, _band_rows, header_row
+from ..operators.codec import HEADER, PIXELS, _band_rows, header_row
 
 SUFFIX = ".grid"
-_TESTS = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b}
 
 
 @dataclass
@@ -59,49 +61,28 @@ class BlobReader(DataSourceReader):
         self.path, self.content = options["path"], options.get("content", "header")
         self.recursive = options.get("recursive", "false").lower() == "true"
         self.group = int(options.get("filesperpartition", "16"))
-        self.tests: list[tuple[type, str, object]] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        known = {"header": {*HEADER_FIELDS, "raster_id"}, "pixel": {"raster_id", "value"}, "blob": {"raster_id"}}[self.content]
-        for f in filters:
-            column = f.attribute[0] if type(f) in _TESTS and len(f.attribute) == 1 else None
-            if column in known:
-                self.tests.append((type(f), column, f.value))
-            # ranges and names only rule files out, except where they are the row itself
-            if column not in known or (self.content == "pixel" and column == "value"):
-                yield f
+        self.low, self.high = float(options.get("valuemin", "-inf")), float(options.get("valuemax", "inf"))
 
     def partitions(self) -> list[Files]:
         at = os.path.join(self.path, "**" if self.recursive else "", "*" + SUFFIX) if os.path.isdir(self.path) else self.path
         found = sorted(glob.glob(at, recursive=self.recursive))
-        found = [p for p in found if all(_TESTS[k](raster_name(p), v) for k, c, v in self.tests if c == "raster_id")]
         return [Files(found[i : i + self.group]) for i in range(0, len(found), self.group)]
 
-    def _may_hold(self, low: float, high: float, mixed: bool) -> bool:
-        for kind, column, v in self.tests:
-            if column == "value" and not mixed:
-                if kind is EqualTo and not min(low, 0.0) <= v <= max(high, 0.0):
-                    return False
-                if kind in (GreaterThan, GreaterThanOrEqual) and not _TESTS[kind](max(high, 0.0), v):
-                    return False
-                if kind in (LessThan, LessThanOrEqual) and not _TESTS[kind](min(low, 0.0), v):
-                    return False
-        return True
+    def _may_hold(self, info: container.Info) -> bool:
+        """Whether a value of the file may lie in the range; with mixed no-data values the header does not tell."""
+        return bool(info.uses_no_data) or (max(info.z_max, 0.0) >= self.low and min(info.z_min, 0.0) <= self.high)
 
     def read(self, partition: Files) -> Iterator:
         for p in partition.paths:
             if self.content == "header":
-                row = header_row(_prefix(p))
-                if all(_TESTS[k](row[HEADER_FIELDS.index(c)], v) for k, c, v in self.tests if c in HEADER_FIELDS):
-                    yield (raster_name(p), p, *row)
+                yield (raster_name(p), p, *header_row(_prefix(p)))
                 continue
             with open(p, "rb") as f:
                 raw = f.read()
             if self.content == "blob":
                 yield pa.RecordBatch.from_arrays([pa.array([raster_name(p)]), pa.array([raw], pa.binary())], ["raster_id", "blob"])
                 continue
-            info = container.read_info(raw)
-            if self._may_hold(info.z_min, info.z_max, bool(info.uses_no_data)):
+            if self._may_hold(container.read_info(raw)):
                 d = container.decode(raw)
                 for k in range(len(d.values)):
                     yield from _band_rows(raster_name(p), k, d, False)
@@ -151,4 +132,5 @@ class BlobWriter(DataSourceWriter):
 
 
 def register(spark) -> None:  # noqa: ANN001
+    """Make the format known to a session."""
     spark.dataSource.register(BlobSource)
