@@ -246,15 +246,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, n_coo
     of_class = components(links)
     named = reps.select("set_a", "set_b", "rep").join(of_class.withColumnsRenamed({"v": "rep"}), "rep", "left").select("set_a", "set_b", F.coalesce("root", "rep").alias("c"))
     out = base.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, **options: object) -> DataFrame:
     """The rows of docs that :func:`near_duplicates` keeps, with their columns; of rows equal in doc_id and text, one."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("__key")).distinct()
-    keyed = docs.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)), "__text": F.xxhash64("text")})
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key", "__text"]).drop("__key", "__text")
+    nowhere = F.lit(-1 << 63)
+    kept = near_duplicates(docs, **options).where("kept").select(F.coalesce("doc_id", nowhere).alias("key")).distinct()
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), nowhere).alias("key"), F.xxhash64("text").alias("hash"), F.struct(*docs.columns).alias("row"))
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key", "hash"]).select("row.*")
 
 
 def _verify(docs: DataFrame, reps: DataFrame, family: DataFrame, width: int, percent: int, n_coords: int, min_match: int, family_limit: int) -> DataFrame:
