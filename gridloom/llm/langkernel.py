@@ -17,9 +17,13 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import settle
+
 #: Characters told apart; the others count as one.
 ALPHABET = 96
 UNKNOWN = "und"
+#: Ids that are broadcast at most.
+BROADCAST_ROWS = 200_000
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -111,7 +115,11 @@ def sample(labelled: DataFrame, per_language: int, max_chars: int) -> list:
     line = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = labelled.where((F.length("text") <= max_chars) & (F.length("text") > 0)).select("doc_id", "lang")
     chosen = rows.withColumn("n", F.row_number().over(line)).where(F.col("n") <= per_language).select("doc_id", "lang").distinct()
-    found = labelled.where(F.length("text") <= max_chars).join(chosen, ["doc_id", "lang"]).select("text", "lang", F.xxhash64("doc_id").alias("h"))
+    chosen = settle(chosen)
+    # a few hundred ids for each language, so the texts are not shuffled; a table with very many languages would
+    small = chosen.count() <= BROADCAST_ROWS
+    whole = labelled.where(F.length("text") <= max_chars)
+    found = whole.join(F.broadcast(chosen) if small else chosen, ["doc_id", "lang"]).select("text", "lang", F.xxhash64("doc_id").alias("h"))
     return sorted(found.collect(), key=lambda r: (r["h"], r["text"]))  # bounded by the two parameters and the number of languages
 
 

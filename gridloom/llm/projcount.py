@@ -97,10 +97,11 @@ def links(vectors: DataFrame, *, cosine: float = 0.93, n_projections: int = 48,
 
 
 def _joined(vectors: DataFrame, rows: DataFrame, placed: DataFrame, half: float, least: int, wide: float, cosine: float, n_projections: int, block: int, seed: int, label: str) -> DataFrame:
-    # blocks: equal stretches of the places, as many as the label has rows for; a crowded stretch is cut by hash
+    # blocks: equal stretches of the places, as many as the label has rows for but none shorter than a window, so that
+    # a window reaches three at most; a crowded stretch is cut by hash
     group = ["label", "dim"]
     spread = placed.groupBy(*group).agg(F.min("place").alias("from"), F.max("place").alias("to"), F.count("*").alias("n"))
-    spread = spread.withColumn("stretch", F.greatest((F.col("to") - F.col("from")) / F.ceil(F.col("n") / block), F.lit(1e-9)))
+    spread = spread.withColumn("stretch", F.greatest((F.col("to") - F.col("from")) / F.ceil(F.col("n") / block), F.lit(wide)))
     on = [F.col(c) == F.col(f"g_{c}") for c in group]
     cells = placed.join(spread.select(*[F.col(c).alias(f"g_{c}") for c in group], "from", "stretch"), on).withColumn("cell", F.floor((F.col("place") - F.col("from")) / F.col("stretch")))
     cells = cells.select(*group, "rep", "weight", "place", "unit", "cell", "stretch", "from")

@@ -59,7 +59,7 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def best_paths(messages: DataFrame, *, top: int = 1, max_depth: int = 1 << 20) -> DataFrame:
+def best_paths(messages: DataFrame, *, top: int = 1) -> DataFrame:
     """messages (tree_id, node_id, parent_id, score, ...) -> tree_id, path_rank, position, node_id.
 
     The ``top`` root-to-leaf paths of each tree by the sum of their scores (null: 0), ties going to the
@@ -72,13 +72,14 @@ def best_paths(messages: DataFrame, *, top: int = 1, max_depth: int = 1 << 20) -
     rooted = m.join(up, (F.col("tree_id") == F.col("t")) & (F.col("parent_id") == F.col("n")), "left").select("tree_id", "node_id", F.col("n").alias("jump"), "score", F.when(F.col("n").isNull(), 0).otherwise(1).cast("long").alias("depth"))
     jumps = [settle(rooted)]
     state = jumps[0]
-    while state.where("jump is not null").limit(1).count():
-        if 1 << len(jumps) > max_depth:
-            break
+    # of a chain, each round settles some messages; when a round settles none, only cycles are left
+    pending, before = state.where("jump is not null").count(), -1
+    while pending not in (0, before):
         far = state.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("jump").alias("far"), F.col("score").alias("more"), F.col("depth").alias("down"))
         both = state.join(far, (F.col("tree_id") == F.col("t")) & (F.col("jump") == F.col("n")), "left")
         state = settle(both.select("tree_id", "node_id", F.col("far").alias("jump"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("down", F.lit(0))).alias("depth")))
         jumps.append(state)
+        pending, before = state.where("jump is not null").count(), pending
     parents = m.select(F.col("tree_id").alias("t"), F.col("parent_id").alias("n")).distinct()
     leaves = state.where("jump is null").join(parents, (F.col("tree_id") == F.col("t")) & (F.col("node_id") == F.col("n")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.col("score").desc(), "node_id"))
