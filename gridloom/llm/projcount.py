@@ -69,6 +69,7 @@ def links(vectors: DataFrame, *, cosine: float = 0.93, n_projections: int = 48,
     A pair at the threshold is missed with probability ``miss``, closer ones with less. block: vectors to a
     block; blocks meet in pairs, so a task holds twice as many.
     """
+    vectors = vectors.select("vec_id", "embedding", "label")
     half, least = calibrate(cosine, n_projections, inside, miss)
     wide, _ = calibrate(cosine, 1, 1 - miss, miss)
     usable = vectors.where("embedding is not null and label is not null and vec_id is not null")
