@@ -57,20 +57,26 @@ def shingle_sets(w: tk.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(doc[new], np.arange(len(first)))
 
 
-def _signatures(h: np.ndarray, first: np.ndarray, n_coords: int) -> np.ndarray:
-    """16 bits of each min-hash coordinate; rows of empty sets are 0."""
+def _signatures(h: np.ndarray, first: np.ndarray, n_coords: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """(16 bits of each min-hash coordinate, a name of each of the first ``prefix`` coordinate-value pairs); rows of empty sets are 0.
+
+    Names are of 58 bits of the value, so that lists do not fill up by chance as the corpus grows; the low six bits are the coordinate.
+    """
     out = np.zeros((len(first) - 1, n_coords), dtype=np.uint16)
+    names = np.zeros((len(first) - 1, prefix), dtype=np.uint64)
     full = np.flatnonzero(np.diff(first) > 0)
     if len(full):
         rng = np.random.default_rng(8)
         for k, (x, a) in enumerate(rng.integers(1, 2**63, (n_coords, 2), dtype=np.uint64)):
-            low = np.minimum.reduceat((h ^ x) * (a | np.uint64(1)), first[:-1][full])
-            out[full, k] = tk.mix(low) >> np.uint64(48)
-    return out
+            low = tk.mix(np.minimum.reduceat((h ^ x) * (a | np.uint64(1)), first[:-1][full]))
+            out[full, k] = low >> np.uint64(48)
+            if k < prefix:
+                names[full, k] = low & ~np.uint64(63) | np.uint64(k)
+    return out, names
 
 
-def sketch(docs: DataFrame, width: int, n_coords: int) -> DataFrame:
-    """doc_id -> doc_id, n_shingles, set_a, set_b (128 bits that name the shingle set), sig."""
+def sketch(docs: DataFrame, width: int, n_coords: int, prefix: int) -> DataFrame:
+    """doc_id -> doc_id, n_shingles, set_a, set_b (128 bits that name the shingle set), sig, tokens (names of the prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,10 +88,11 @@ def sketch(docs: DataFrame, width: int, n_coords: int) -> DataFrame:
                 np.cumsum(tk.mix(h ^ np.uint64(0x51ED270B)), out=sums[0][1:])
                 np.cumsum(tk.mix(h + np.uint64(0xC2B2AE3D27D4EB4F)), out=sums[1][1:])
                 a, c = (tk.mix((s[first[1:]] - s[first[:-1]]) + n.astype(np.uint64)) for s in sums)
-                sig = _signatures(h, first, n_coords)
-                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(n.astype(np.int64)), tk.longs(a), tk.longs(c), pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * n_coords), j - i, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+                sig, names = _signatures(h, first, n_coords, prefix)
+                tokens = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * prefix), tk.longs(names.ravel()))
+                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(n.astype(np.int64)), tk.longs(a), tk.longs(c), pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * n_coords), j - i, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary()), tokens], ["doc_id", "n_shingles", "set_a", "set_b", "sig", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig binary, tokens array<long>")
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -149,15 +156,9 @@ def in_blocks(df: DataFrame, key: str, sizes: DataFrame, weight: str, limit: int
 
 
 def candidate_links(reps: DataFrame, n_coords: int, min_match: int, list_limit: int) -> DataFrame:
-    """reps (doc_id, sig) -> (a, b): a forest which, list by list, spans all pairs with enough matches."""
-    prefix = n_coords - min_match + 1
-    if prefix > 64:
-        raise ValueError("more than 64 prefix coordinates")
-    # the low six bits of a token are its coordinate
-    token = lambda k: F.xxhash64(F.lit(k), F.substring("sig", 2 * k + 1, 2)).bitwiseAND(F.lit(~63)).bitwiseOR(F.lit(k))
-    tokens = F.array(*[token(k) for k in range(prefix)])
-    posted = reps.select(F.explode(tokens).alias("token"), "doc_id", "sig")
-    heavy = reps.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n_posted")).where(F.col("n_posted") > list_limit)
+    """reps (doc_id, sig, tokens) -> (a, b): a forest which, list by list, spans all pairs with enough matches."""
+    posted = reps.select(F.explode("tokens").alias("token"), "doc_id", "sig")
+    heavy = reps.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n_posted")).where(F.col("n_posted") > list_limit)
     heavy = settle(heavy)
     blocks = in_blocks(posted, "token", heavy, "n_posted", list_limit) if heavy.head(1) else posted.withColumns({k: F.lit(0) for k in ("bi", "bj", "home")})
 
@@ -237,11 +238,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, n_coo
     binomial tail at that similarity is negligible (0.80: 13 of 32, 0.85: 16 of 32).
     list_limit: postings, family_limit: words, beyond which a list or family is cut into blocks.
     """
-    base = settle(sketch(docs, width, n_coords))
+    prefix = n_coords - min_match + 1
+    if prefix > 64:
+        raise ValueError("more than 64 prefix coordinates")
+    base = settle(sketch(docs, width, n_coords, prefix))
     full = base.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("r"))
-    reps = settle(classes.select("set_a", "set_b", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n_shingles"), F.col("r.sig").alias("sig")))
-    family = components(candidate_links(reps.select(F.col("rep").alias("doc_id"), "sig"), n_coords, min_match, list_limit))
+    classes = full.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "tokens")).alias("r"))
+    reps = settle(classes.select("set_a", "set_b", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n_shingles"), F.col("r.sig").alias("sig"), F.col("r.tokens").alias("tokens")))
+    family = components(candidate_links(reps.select(F.col("rep").alias("doc_id"), "sig", "tokens"), n_coords, min_match, list_limit))
     links = _verify(docs, reps, family, width, percent, n_coords, min_match, family_limit)
     of_class = components(links)
     named = reps.select("set_a", "set_b", "rep").join(of_class.withColumnsRenamed({"v": "rep"}), "rep", "left").select("set_a", "set_b", F.coalesce("root", "rep").alias("c"))
