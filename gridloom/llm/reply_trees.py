@@ -65,23 +65,29 @@ def best_paths(messages: DataFrame, *, top: int = 1) -> DataFrame:
     The ``top`` root-to-leaf paths of each tree by the sum of their scores (null: 0), ties going to the
     smaller leaf; positions count from 0 at the root. A message without a parent, or whose parent is not in
     its tree, is a root, and each of a tree's roots has its paths. Messages in or under a cycle lie on no
-    path. node_id must be unique in its tree; rows without one are left out. An empty table gives an empty one.
+    path. node_id must be unique in its tree; rows without one are left out. Rows without a tree_id are one
+    tree of their own. An empty table gives an empty one.
     """
-    m = messages.select("tree_id", "node_id", F.nullif("parent_id", "node_id").alias("parent_id"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score")).where("node_id is not null and tree_id is not null")
+    given = messages.select("tree_id", "node_id", F.nullif("parent_id", "node_id").alias("parent_id"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score")).where("node_id is not null")
+    m = settle(given)  # ids and scores only: texts are not part of any of these joins
     up = m.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"))
-    rooted = m.join(up, (F.col("tree_id") == F.col("t")) & (F.col("parent_id") == F.col("n")), "left").select("tree_id", "node_id", F.col("n").alias("jump"), "score", F.when(F.col("n").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    # a null tree_id names a tree like any other
+    on = lambda c: F.col("tree_id").eqNullSafe(F.col("t")) & (F.col(c) == F.col("n"))
+    rooted = m.join(up, on("parent_id"), "left").select("tree_id", "node_id", F.col("n").alias("jump"), "score", F.when(F.col("n").isNull(), 0).otherwise(1).cast("long").alias("depth"))
     jumps = [settle(rooted)]
     state = jumps[0]
     # of a chain, each round settles some messages; when a round settles none, only cycles are left
     pending, before = state.where("jump is not null").count(), -1
     while pending not in (0, before):
         far = state.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("jump").alias("far"), F.col("score").alias("more"), F.col("depth").alias("down"))
-        both = state.join(far, (F.col("tree_id") == F.col("t")) & (F.col("jump") == F.col("n")), "left")
-        state = settle(both.select("tree_id", "node_id", F.col("far").alias("jump"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("down", F.lit(0))).alias("depth")))
+        # a message that has reached its root needs no join any more
+        both = state.where("jump is not null").join(far, on("jump"), "left")
+        moved = both.select("tree_id", "node_id", F.col("far").alias("jump"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("down", F.lit(0))).alias("depth"))
+        state = settle(moved.union(state.where("jump is null")))
         jumps.append(state)
         pending, before = state.where("jump is not null").count(), pending
-    parents = m.select(F.col("tree_id").alias("t"), F.col("parent_id").alias("n")).distinct()
-    leaves = state.where("jump is null").join(parents, (F.col("tree_id") == F.col("t")) & (F.col("node_id") == F.col("n")), "left_anti")
+    parents = m.where("parent_id is not null").select(F.col("tree_id").alias("t"), F.col("parent_id").alias("n")).distinct()
+    leaves = state.where("jump is null").join(parents, on("node_id"), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.col("score").desc(), "node_id"))
     paths = leaves.withColumn("path_rank", rank).where(F.col("path_rank") <= top).select("tree_id", "path_rank", F.col("depth").alias("position"), "node_id")
     # every distance from the leaf is a sum of distinct powers of two
@@ -89,7 +95,7 @@ def best_paths(messages: DataFrame, *, top: int = 1) -> DataFrame:
         hop = jumps[k].where("jump is not null").select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "jump")
         here = F.struct(F.col("position"), F.col("node_id"))
         there = F.struct((F.col("position") - (1 << k)).alias("position"), F.col("jump").alias("node_id"))
-        both = paths.join(hop, (F.col("tree_id") == F.col("t")) & (F.col("node_id") == F.col("n")), "left")
+        both = paths.join(hop, on("node_id"), "left")
         paths = both.select("tree_id", "path_rank", F.explode(F.when(F.col("jump").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("x")).select("tree_id", "path_rank", "x.*")
     return paths
 
@@ -102,7 +108,7 @@ def conversations(messages: DataFrame, *, top: int = 1, learn: str = "assistant"
     count as empty. A conversation is one value and has to fit in a worker. Other columns are ignored.
     """
     chosen = best_paths(messages, top=top).withColumnsRenamed({"tree_id": "t", "node_id": "n"})
-    said = messages.select("tree_id", "node_id", "role", "text").join(chosen, (F.col("tree_id") == F.col("t")) & (F.col("node_id") == F.col("n")))
+    said = messages.select("tree_id", "node_id", "role", "text").join(chosen, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n")))
     turns = said.groupBy("tree_id", "path_rank").agg(F.sort_array(F.collect_list(F.struct("position", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

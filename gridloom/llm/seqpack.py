@@ -72,6 +72,60 @@ def powers_of_two(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
+class _Cheapest:
+    """Sequences by remaining room, with the cheapest one (then the first) of any least room at hand.
+
+    A heap for each room, and over the heaps a binary tree of their tops, so a search takes log2(window) steps
+    whatever the number of sequences and always finds the cheapest one with room.
+    """
+
+    _NONE = (float("inf"), -1)
+
+    def __init__(self, window: int, rooms: list[int]) -> None:
+        self.base = 1 << window.bit_length()  # rooms 0 .. window are its leaves
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(window + 1)]
+        for s, room in enumerate(rooms):
+            self.heaps[room].append((0.0, s))  # rising numbers are a heap already
+        self.top = [self._NONE] * (2 * self.base)
+        for room in range(1, window + 1):
+            if self.heaps[room]:
+                self.top[self.base + room] = self.heaps[room][0]
+        for k in range(self.base - 1, 0, -1):
+            self.top[k] = min(self.top[2 * k], self.top[2 * k + 1])
+
+    def _set(self, room: int) -> None:
+        top, k = self.top, self.base + room
+        top[k] = self.heaps[room][0] if self.heaps[room] else self._NONE
+        k >>= 1
+        while k:
+            low = top[2 * k] if top[2 * k] <= top[2 * k + 1] else top[2 * k + 1]
+            if top[k] == low:
+                break
+            top[k] = low
+            k >>= 1
+
+    def take(self, least: int) -> tuple[float, int] | None:
+        """Remove and return (cost, sequence) of the cheapest sequence with room for ``least``."""
+        top, k = self.top, self.base + least
+        best, at = top[k], k
+        while k > 1:
+            if not k & 1 and top[k + 1] < best:
+                best, at = top[k + 1], k + 1
+            k >>= 1
+        if best[1] < 0:
+            return None
+        while at < self.base:
+            at = 2 * at if top[2 * at] == best else 2 * at + 1
+        heapq.heappop(self.heaps[at - self.base])
+        self._set(at - self.base)
+        return best
+
+    def put(self, room: int, cost: float, s: int) -> None:
+        if room:
+            heapq.heappush(self.heaps[room], (cost, s))
+            self._set(room)
+
+
 def pack(lengths: np.ndarray, window: int) -> list[tuple[int, int, int, int, int]]:
     """(item, start, length, sequence, offset) of pieces; sequences are numbered from 0 and hold ``window`` tokens or a power of two.
 
@@ -94,23 +148,17 @@ def pack(lengths: np.ndarray, window: int) -> list[tuple[int, int, int, int, int
     room = [window] * full + ([tail] if tail else [])
     used = [0] * len(room)
     inside: list[list[tuple[int, int, int]]] = [[] for _ in room]
-    heap = [(0.0, s) for s in range(len(room))]
+    cheapest = _Cheapest(window, room)
     spill: list[tuple[int, int, int]] = []
     for n, item, start in left:
-        # the cheapest sequence that has room; those passed over stay in the heap
-        passed = []
-        while heap and room[heap[0][1]] - used[heap[0][1]] < n and len(passed) < 64:
-            passed.append(heapq.heappop(heap))
-        if heap and room[heap[0][1]] - used[heap[0][1]] >= n:
-            cost, s = heapq.heappop(heap)
-            inside[s].append((item, start, n))
-            used[s] += n
-            if used[s] < room[s]:
-                heapq.heappush(heap, (cost + n + n * n / window, s))
-        else:
+        found = cheapest.take(n)
+        if found is None:
             spill.append((n, item, start))
-        for x in passed:
-            heapq.heappush(heap, x)
+            continue
+        cost, s = found
+        inside[s].append((item, start, n))
+        used[s] += n
+        cheapest.put(room[s] - used[s], cost + n + n * n / window, s)
     gaps = [s for s in range(len(room)) if used[s] < room[s]]
     gaps.sort(key=lambda s: used[s] - room[s])
     g = 0

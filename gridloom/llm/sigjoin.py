@@ -9,17 +9,18 @@ pair whose ends already hang together there being skipped. Lists return a spanni
 pairs. The families that result are brought together once with their full texts, and a link stands only
 if the full shingle sets confirm it.
 
-Lists and families above a size are cut into blocks which meet two by two, so that no task holds an
-unbounded group and no pair is lost.
+Lists and families above a size are cut into blocks, and a few of their members, the pivots, visit every
+block first. What hangs together by its links to pivots is not compared again; only the rest visits the
+other blocks. So the work on a family of copies grows in proportion to its size, and no link is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -57,6 +58,17 @@ def shingle_sets(w: tk.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(doc[new], np.arange(len(first)))
 
 
+def set_names(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits, in two halves, that name each set of shingles."""
+    n = np.diff(first).astype(np.uint64)
+    out = []
+    for item in (tk.mix(h ^ np.uint64(0x51ED270B)), tk.mix(h + np.uint64(0xC2B2AE3D27D4EB4F))):
+        c = np.zeros(len(h) + 1, dtype=np.uint64)
+        np.cumsum(item, out=c[1:])
+        out.append(tk.mix((c[first[1:]] - c[first[:-1]]) + n))
+    return out[0], out[1]
+
+
 def _signatures(h: np.ndarray, first: np.ndarray, n_coords: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
     """(16 bits of each min-hash coordinate, a name of each of the first ``prefix`` coordinate-value pairs); rows of empty sets are 0.
 
@@ -84,10 +96,7 @@ def sketch(docs: DataFrame, width: int, n_coords: int, prefix: int) -> DataFrame
             for i, j, w in tk.each(b.column(1), fold=True):
                 h, first = shingle_sets(w, width)
                 n = np.diff(first)
-                sums = [np.zeros(len(h) + 1, dtype=np.uint64) for _ in range(2)]
-                np.cumsum(tk.mix(h ^ np.uint64(0x51ED270B)), out=sums[0][1:])
-                np.cumsum(tk.mix(h + np.uint64(0xC2B2AE3D27D4EB4F)), out=sums[1][1:])
-                a, c = (tk.mix((s[first[1:]] - s[first[:-1]]) + n.astype(np.uint64)) for s in sums)
+                a, c = set_names(h, first)
                 sig, names = _signatures(h, first, n_coords, prefix)
                 tokens = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * prefix), tk.longs(names.ravel()))
                 yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(n.astype(np.int64)), tk.longs(a), tk.longs(c), pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * n_coords), j - i, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary()), tokens], ["doc_id", "n_shingles", "set_a", "set_b", "sig", "tokens"])
@@ -133,94 +142,103 @@ def _sig_matrix(col: pa.ChunkedArray, n_coords: int) -> np.ndarray:
     return np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.uint16).reshape(len(col), n_coords)
 
 
-def _matches(one: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    return (sig == one).sum(axis=1)
+#: Members of a heavy group that visit all its blocks first.
+PIVOTS = 8
 
 
-def in_blocks(df: DataFrame, key: str, sizes: DataFrame, weight: str, limit: int) -> DataFrame:
-    """Rows of df with bi, bj, home: groups of ``key`` heavier than ``limit`` are cut into blocks, and each pair of blocks bi <= bj is a group of its own.
+def forest(label: np.ndarray, active: np.ndarray, guest: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], sure: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Pairs that, with the labels, hang together all rows that link: each active row is compared with every row.
 
-    sizes: key, and the group's weight, for heavy groups only. home: the block that the row belongs to.
+    Rows of one label hang together already; guests do not meet each other here. near tells which of some rows
+    may link with row i, sure (where given) whether one does.
     """
-    n = F.coalesce(F.ceil(F.col(weight) / F.lit(limit)), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("n_blocks").cast("long")).cast("int")
-    return (
-        df.join(sizes, key, "left")
-        .withColumn("n_blocks", n)
-        .withColumn("home", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .withColumn("bi", F.least("home", "other"))
-        .withColumn("bj", F.greatest("home", "other"))
-        .drop("other", "n_blocks", weight)
-    )
+    root = np.unique(label, return_inverse=True)[1]
+    at, every, out = np.arange(len(root)), bool(active.all()), []
+    for i in np.flatnonzero(active):
+        rest = root != root[i]
+        if every:
+            rest[: i + 1] = False
+        else:
+            rest &= ~active | (at > i)
+        if guest[i]:
+            rest &= ~guest
+        rest = np.flatnonzero(rest)
+        if not len(rest):
+            continue
+        for j in rest[near(int(i), rest)]:
+            if root[i] != root[j] and (sure is None or sure(int(i), int(j))):
+                root[root == root[j]] = root[i]
+                out.append((int(i), int(j)))
+    return out
 
 
-def candidate_links(reps: DataFrame, n_coords: int, min_match: int, list_limit: int) -> DataFrame:
-    """reps (doc_id, sig, tokens) -> (a, b): a forest which, list by list, spans all pairs with enough matches."""
-    posted = reps.select(F.explode("tokens").alias("token"), "doc_id", "sig")
-    heavy = reps.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n_posted")).where(F.col("n_posted") > list_limit)
-    heavy = settle(heavy)
-    blocks = in_blocks(posted, "token", heavy, "n_posted", list_limit) if heavy.head(1) else posted.withColumns({k: F.lit(0) for k in ("bi", "bj", "home")})
+def spanning_links(members: DataFrame, key: str, heavy: DataFrame, weight: str, limit: int, connect: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], list[tuple[int, int]]]) -> DataFrame:
+    """members (key, doc_id, ...) -> (a, b): links that span, group by group of ``key``, all that ``connect`` finds in the group.
+
+    heavy: (key, weight) of the groups heavier than ``limit``, each cut into blocks of about that weight.
+    connect(rows, label, active, guest): a forest of one block, as of :func:`forest`.
+    """
+    payload = [c for c in members.columns if c not in (key, "doc_id")]
+    cols = [key, "block", "doc_id", "label", "active", "guest", *payload]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs_of(batches, 3):
-            cut = run_bounds(t, 3)
-            many = np.flatnonzero(np.diff(cut) > 1)
-            if not len(many):
-                continue
-            ids, home, sig = t.column(3).to_numpy(), t.column(4).to_numpy(), _sig_matrix(t.column(5), n_coords)
-            token, bi, bj = (t.column(k).to_numpy() for k in range(3))
+        for t in runs_of(batches, 2):
+            cut = run_bounds(t, 2)
+            ids, label = t.column(2).to_numpy(), t.column(3).to_numpy()
+            active, guest = (t.column(k).to_numpy(zero_copy_only=False) for k in (4, 5))
             a, b = [], []
-            for r in many:
-                lo, hi, k = cut[r], cut[r + 1], int(token[cut[r]]) & 63
-                s, at, root = sig[lo:hi], home[lo:hi], np.arange(hi - lo)
-                if k and (s[:, :k] == s[0, :k]).all(axis=0).any():
-                    continue  # skip merging: an earlier list holds all these pairs
-                for i in range(hi - lo - 1):
-                    same = s[i + 1 :] == s[i]
-                    ok = (same.sum(axis=1) >= min_match) & (root[i + 1 :] != root[i])
-                    if k:
-                        ok &= ~same[:, :k].any(axis=1)
-                    if bi[lo] != bj[lo]:
-                        ok &= at[i + 1 :] != at[i]
-                    for j in np.flatnonzero(ok) + i + 1:
-                        if root[i] != root[j]:
-                            low, high = sorted((root[i], root[j]))
-                            root[root == high] = low
-                            a.append(ids[lo + i])
-                            b.append(ids[lo + j])
+            for r in np.flatnonzero(np.diff(cut) > 1):
+                lo, hi = cut[r], cut[r + 1]
+                if active[lo:hi].any():
+                    for i, j in connect(t.slice(lo, hi - lo), label[lo:hi], active[lo:hi], guest[lo:hi]):
+                        a.append(ids[lo + i])
+                        b.append(ids[lo + j])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    cols = ["token", "bi", "bj", "doc_id", "home", "sig"]
-    return blocks.select(cols).repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj").mapInArrow(run, "a long, b long").distinct()
-
-
-def _confirm(ids: np.ndarray, home: np.ndarray, cross: bool, sig: np.ndarray, h: np.ndarray, first: np.ndarray, percent: int, min_match: int) -> list[tuple[int, int]]:
-    """A forest that spans the links of one family (or of two blocks of it)."""
-    n = np.diff(first)
-    root, out = np.arange(len(ids)), []
-    vocabulary, code = np.unique(h, return_inverse=True)
-    mark = np.zeros(len(vocabulary), dtype=bool)
-    for i in range(len(ids) - 1):
-        rest = np.arange(i + 1, len(ids))
-        ok = (_matches(sig[i], sig[i + 1 :]) >= min_match) & (100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest]))
-        if cross:
-            ok &= home[rest] != home[i]
-        rest = rest[ok & (root[rest] != root[i])]
-        if not len(rest):
-            continue
-        mark[code[first[i] : first[i + 1]]] = True
-        for j in rest:
-            if root[j] == root[i]:
-                continue
-            both = int(np.count_nonzero(mark[code[first[j] : first[j + 1]]]))
-            if 100 * both >= percent * (int(n[i]) + int(n[j]) - both):
-                old, new = max(root[i], root[j]), min(root[i], root[j])
-                root[root == old] = new
-                out.append((int(ids[i]), int(ids[j])))
-        mark[code[first[i] : first[i + 1]]] = False
-    return out
+    def meet(rows: DataFrame) -> DataFrame:
+        return rows.select(cols).repartition(key, "block").sortWithinPartitions(key, "block").mapInArrow(run, "a long, b long").distinct()
+
+    yes, no = F.lit(True), F.lit(False)
+    if not heavy.head(1):
+        return meet(members.withColumns({"block": F.lit(0), "label": F.col("doc_id"), "active": yes, "guest": no}))
+    light = meet(members.join(heavy, key, "left_anti").withColumns({"block": F.lit(0), "label": F.col("doc_id"), "active": yes, "guest": no}))
+    n_blocks = F.ceil(F.col(weight) / F.lit(limit)).cast("int")
+    hot = members.join(heavy, key).withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int"))
+    hot = settle(hot.drop(weight))
+    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
+    pivots = hot.withColumn("nth", first).where(F.col("nth") <= PIVOTS).withColumns({"block": every_block, "active": yes})
+    by_pivot = settle(meet(pivots.drop("nth").unionByName(hot.withColumn("active", no)).withColumns({"label": F.col("doc_id"), "guest": no})))
+    hung = hot.join(components(by_pivot).withColumnsRenamed({"v": "c_v", "root": "c_root"}), F.col("doc_id") == F.col("c_v"), "left").withColumn("label", F.coalesce("c_root", "doc_id")).drop("c_v", "c_root")
+    most = hung.groupBy(key, "label").agg(F.count("*").alias("n")).groupBy(key).agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    hung = settle(hung.join(most, key).withColumn("active", F.col("label") != F.col("most")))
+    rest = hung.where("active")
+    guests = rest.withColumns({"home": F.col("block"), "block": every_block, "guest": yes}).where("block != home").drop("home")
+    left = hung.withColumn("guest", no).join(rest.select(key).distinct(), key, "left_semi")
+    return light.union(by_pivot).union(meet(left.unionByName(guests)))
+
+
+def candidate_links(reps: DataFrame, n_coords: int, min_match: int, list_limit: int) -> DataFrame:
+    """reps (doc_id, sig, tokens) -> (a, b): a forest which, list by list, spans all pairs with enough matches."""
+    before = F.transform("tokens", lambda x, k: F.struct(x.alias("token"), F.when(k > 0, F.element_at("tokens", k)).alias("prior")))
+    posted = reps.select(F.explode(before).alias("x"), "doc_id", "sig").select("x.token", "doc_id", F.coalesce("x.prior", F.lit(0)).alias("prior"), "sig")
+    heavy = reps.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n_posted")).where(F.col("n_posted") > list_limit)
+
+    def connect(t: pa.Table, label: np.ndarray, active: np.ndarray, guest: np.ndarray) -> list[tuple[int, int]]:
+        # skip merging: a pair that shares the list of the coordinate before as well met there, by the same rule at its first one
+        prior = t.column(6).to_numpy()
+        if prior[0] and (prior == prior[0]).all():
+            return []
+        sig = _sig_matrix(t.column(7), n_coords)
+
+        def near(i: int, rest: np.ndarray) -> np.ndarray:
+            ok = (sig[rest] == sig[i]).sum(axis=1) >= min_match
+            return ok & (prior[rest] != prior[i]) if prior[i] else ok
+
+        return forest(label, active, guest, near)
+
+    return spanning_links(posted, "token", settle(heavy), "n_posted", list_limit, connect)
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, n_coords: int = 32, min_match: int = 13, list_limit: int = 4096, family_limit: int = 2_000_000) -> DataFrame:
@@ -263,37 +281,42 @@ def keep_one(docs: DataFrame, **options: object) -> DataFrame:
 
 
 def _verify(docs: DataFrame, reps: DataFrame, family: DataFrame, width: int, percent: int, n_coords: int, min_match: int, family_limit: int) -> DataFrame:
+    """Families brought together with their texts -> (a, b): a forest of the links that the full sets confirm."""
     member = reps.select(F.col("rep").alias("doc_id"), "set_a", "set_b", "n_shingles", "sig").join(family.select(F.col("v").alias("doc_id"), "root"), "doc_id")
+    member = settle(member)
     heavy = settle(member.groupBy("root").agg(F.sum("n_shingles").alias("n_words")).where(F.col("n_words") > family_limit))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(member.select("doc_id", "n_shingles", "sig", "root"), "doc_id")
-    blocks = in_blocks(texts, "root", heavy, "n_words", family_limit) if heavy.head(1) else texts.withColumns({k: F.lit(0) for k in ("bi", "bj", "home")})
+    # the same plan at every size: the texts are sent to the ids once, by a merge join
+    texts = docs.select(F.col("doc_id").cast("long"), "text").hint("merge").join(member.drop("n_shingles"), "doc_id")
+
+    def connect(t: pa.Table, label: np.ndarray, active: np.ndarray, guest: np.ndarray) -> list[tuple[int, int]]:
+        sets: list[np.ndarray] = []
+        ours = []
+        wanted = [t.column(k).to_numpy().view(np.uint64) for k in (6, 7)]
+        for i, j, w in tk.each(t.column(9).combine_chunks(), fold=True):
+            h, first = shingle_sets(w, width)
+            a, c = set_names(h, first)
+            # of rows that repeat a doc_id, those with the class's own set stand for the class
+            ours.append((a == wanted[0][i:j]) & (c == wanted[1][i:j]))
+            sets += np.split(h, first[1:-1])
+        take = np.flatnonzero(np.concatenate(ours))
+        if len(take) < 2:
+            return []
+        n = np.array([len(sets[k]) for k in take])
+        first = np.concatenate([[0], np.cumsum(n)])
+        vocabulary, code = np.unique(np.concatenate([sets[k] for k in take]), return_inverse=True)
+        sig, mark, marked = _sig_matrix(t.column(8), n_coords)[take], np.zeros(len(vocabulary), dtype=bool), [-1]
+
+        def near(i: int, rest: np.ndarray) -> np.ndarray:
+            return ((sig[rest] == sig[i]).sum(axis=1) >= min_match) & (100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest]))
+
+        def sure(i: int, j: int) -> bool:
+            if marked[0] != i:
+                mark[:] = False
+                mark[code[first[i] : first[i + 1]]] = True
+                marked[0] = i
+            both = int(np.count_nonzero(mark[code[first[j] : first[j + 1]]]))
+            return 100 * both >= percent * (int(n[i]) + int(n[j]) - both)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs_of(batches, 3):
-            cut = run_bounds(t, 3)
-            bi, bj, ids, home, sizes = (t.column(k).to_numpy() for k in range(1, 6))
-            a, b = [], []
-            for r in np.flatnonzero(np.diff(cut) > 1):
-                lo, hi = cut[r], cut[r + 1]
-                part = t.slice(lo, hi - lo)
-                hs, ns = [], []
-                for _, _, w in tk.each(part.column(7).combine_chunks(), fold=True):
-                    h, first = shingle_sets(w, width)
-                    hs.append(h)
-                    ns.append(np.diff(first))
-                n = np.concatenate(ns)
-                # of rows that repeat a doc_id, the one whose set has the class's size stands for the class
-                take = np.flatnonzero(n == sizes[lo:hi])
-                take = take[np.unique(ids[lo:hi][take], return_index=True)[1]]
-                first = np.concatenate([[0], np.cumsum(n)])
-                h = np.concatenate(hs)
-                h = np.concatenate([h[first[i] : first[i + 1]] for i in take]) if len(take) else h[:0]
-                sig = _sig_matrix(part.column(6), n_coords)[take]
-                for x, y in _confirm(ids[lo:hi][take], home[lo:hi][take], bool(bi[lo] != bj[lo]), sig, h, np.concatenate([[0], np.cumsum(n[take])]), percent, min_match):
-                    a.append(x)
-                    b.append(y)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        return [(int(take[i]), int(take[j])) for i, j in forest(label[take], active[take], guest[take], near, sure)]
 
-    cols = ["root", "bi", "bj", "doc_id", "home", "n_shingles", "sig", "text"]
-    return blocks.select(cols).repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj").mapInArrow(run, "a long, b long").distinct()
+    return spanning_links(texts.select("root", "doc_id", "set_a", "set_b", "sig", "text"), "root", heavy, "n_words", family_limit, connect)

@@ -130,6 +130,41 @@ def test_hot_family_is_cut_into_blocks(spark):
     assert {r.doc_id: r.component_id for r in got} == comp
 
 
+def test_hot_family_without_a_common_pivot(spark):
+    # a chain: each text links with its neighbours only, so no pivot takes more than a few
+    r = random.Random(19)
+    words = vocabulary(4000, 6)
+    line = [r.choice(words) for _ in range(700)]
+    rows = [(k * 37 % 211, " ".join(line[2 * k : 2 * k + 120]), "en", "a", 1) for k in range(120)]
+    rows += [(300 + k, " ".join(line[600 + k % 3 :]), "en", "a", 1) for k in range(40)]
+    _, comp = brute_near(rows, 3, 85)
+    got = sigjoin.near_duplicates(spark.createDataFrame(rows, SCHEMA), width=3, percent=85, min_match=16, list_limit=5, family_limit=1000).collect()
+    assert {r.doc_id: r.component_id for r in got} == comp
+
+
+def test_agreement_by_chance_loses_no_pair(spark):
+    """Lists that two sets share under different earlier values are not skipped, whatever 16 bits of those values say."""
+    sig = np.arange(32, dtype=np.uint16)
+    tokens = [[(k * 1000 + who) * 64 + k if k == 0 else k * 64_000 + k for k in range(17)] for who in (1, 2)]
+    df = spark.createDataFrame([(1, bytearray(sig.tobytes()), tokens[0]), (2, bytearray(sig.tobytes()), tokens[1])], "doc_id long, sig binary, tokens array<long>")
+    assert {tuple(sorted(r)) for r in sigjoin.candidate_links(df, 32, 16, 4096).collect()} == {(1, 2)}
+    # and in full: equal first 16 bits at coordinate 0, another value there, all others shared
+    full = [int(x) for x in tokens[0]]
+    other = [full[0] ^ (1 << 20), *full[1:]]
+    df = spark.createDataFrame([(k, bytearray(sig.tobytes()), t) for k, t in ((5, full), (6, other), (7, full))], "doc_id long, sig binary, tokens array<long>")
+    found = components.components(sigjoin.candidate_links(df, 32, 16, 4096)).collect()
+    assert {r.v: r.root for r in found} == {5: 5, 6: 5, 7: 5}
+
+
+def test_texts_of_one_doc_id_are_not_swapped(spark):
+    r = random.Random(23)
+    words = vocabulary(500, 9)
+    a, b = prose(r, 100, words), prose(r, 100, words)
+    rows = [(1, a, "en", "a", 1), (1, b, "en", "a", 1), (2, b + " x", "en", "a", 1), (3, a + " y", "en", "a", 1)]
+    got = sigjoin.near_duplicates(spark.createDataFrame(rows, SCHEMA), width=3, percent=85, min_match=16).collect()
+    assert {x.component_id for x in got} == {1}
+
+
 def test_empty_documents_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert sigjoin.near_duplicates(none).count() == 0 and sigjoin.keep_one(none).count() == 0
@@ -293,6 +328,32 @@ def test_language(spark, docs, sf_dir):
     assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
 
 
+def test_language_sample_is_bounded(spark):
+    r = random.Random(1)
+    words = vocabulary(50, 3)
+    rows = [(7, "the same text", "en", "a", 1)] * 3000 + [(8, f"text {k} of one id", "en", "a", 1) for k in range(900)] + [(9 + k, prose(r, 9, words), f"l{k % 30}", "a", 1) for k in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = langkernel.sample(df, 400, 20_000, 20_000)
+    per = Counter(x.lang for x in got)
+    assert per["en"] == 400 and len({(x.doc_id, x.text) for x in got if x.lang == "en"}) == 400 and all(per[f"l{k}"] == 10 for k in range(30))
+    few = langkernel.sample(df, 400, 20_000, 62)
+    assert len(few) == 62 and len({x.lang for x in few}) == 31
+
+
+def test_kernel_is_the_blended_spectrum():
+    r = random.Random(2)
+    alphabet = "abc éß語学😀-"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(120)] + ["", "a", "zq", "".join(chr(r.randint(0x4E00, 0x4E00 + 900)) for _ in range(3000))] * 2
+    sets = [{t[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1)} for t in texts]
+    known = {g for g, n in Counter(g for s in sets for g in s).items() if n > 1}
+    m = langkernel.train(texts, ["x" if k % 2 else "y" for k in range(len(texts))], n_landmarks=20)
+    got = m.kernel(texts)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:20]):
+            p, q = a & known, b & known
+            assert abs(got[i, j] - len(p & q) / max(1, len(p) * len(q)) ** 0.5) < 1e-5
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "some text", None, "a", 1)], SCHEMA)
     assert [tuple(r) for r in langkernel.identify(df).collect()] == [(1, zlib.crc32(b"1") % 4 == 2, "und", 0.0)]
@@ -321,6 +382,54 @@ def test_pack_covers_everything():
             assert sorted(seqs) == list(range(len(seqs)))
 
 
+def brute_assignment(lengths, window):
+    """Sequence of each whole piece by a plain scan for the cheapest sequence with room, and the pieces that fit nowhere."""
+    left = []
+    for i, n in enumerate(lengths):
+        start = n // window * window
+        if n > start:
+            left.append((int(n - start), i, int(start)))
+    left.sort(key=lambda x: (-x[0], x[1]))
+    full, tail = divmod(sum(x[0] for x in left), window)
+    room, cost = [window] * full + [tail] * (tail > 0), [0.0] * (full + (tail > 0))
+    placed, spilled = {}, []
+    for n, item, start in left:
+        fits = [s for s in range(len(room)) if room[s] >= n]
+        if not fits:
+            spilled.append(item)
+            continue
+        s = min(fits, key=lambda s: (cost[s], s))
+        room[s] -= n
+        cost[s] = cost[s] + n + n * n / window
+        placed[item] = s
+    return placed, spilled, full
+
+
+@pytest.mark.parametrize("window", [16, 100, 2048])
+def test_pack_takes_the_cheapest_sequence_with_room(window):
+    rng = random.Random(window)
+    for _ in range(30):
+        lengths = np.array([rng.choice([rng.randint(1, window - 2), rng.randint(1, window // 8 + 1), rng.randint(1, 3 * window)]) for _ in range(rng.randint(1, 250))])
+        placed, spilled, full = brute_assignment(lengths, window)
+        whole = int(sum(n // window for n in lengths))
+        seqs = defaultdict(set)
+        for item, start, n, s, _ in seqpack.pack(lengths, window):
+            if n < window or start % window:
+                seqs[item].add(s - whole)
+        for item, s in placed.items():
+            if s < full:
+                assert seqs[item] == {s}
+        assert all(len(v) == 1 for k, v in seqs.items() if k in placed and placed[k] < full)
+
+
+def test_pack_cuts_few():
+    rng = np.random.default_rng(0)
+    lengths = rng.integers(1, 2047, 4000)
+    items = [p[0] for p in seqpack.pack(lengths, 2048)]
+    placed, spilled, full = brute_assignment(lengths, 2048)
+    assert len(items) - len(set(items)) <= 3 * len(spilled) + 12 and len(spilled) < 80
+
+
 def test_packed_ids(docs):
     import public_tokenizers as public
     from tokenizers import Tokenizer

@@ -49,7 +49,7 @@ TREE = "tree_id long, node_id long, parent_id long, score double, role string, t
 def brute_paths(rows, top):
     trees = defaultdict(dict)
     for t, n, p, s, *_ in rows:
-        if n is not None and t is not None:
+        if n is not None:
             trees[t][n] = (p if p != n else None, s or 0.0)
     out = set()
     for t, nodes in trees.items():
@@ -75,7 +75,7 @@ def tree_rows():
             rows.append((t, n, None if n == 1 or r.random() < 0.05 else r.randint(1, n - 1), float(r.randint(0, 3)), r.choice(["user", "assistant", None]), r.choice(["x", None, "</s>", "y" * 50])))
     rows += [(50, k, k - 1 if k else None, None, "user", str(k)) for k in range(70)]  # deep
     rows += [(51, 1, 2, 1.0, "user", "in a cycle"), (51, 2, 1, 1.0, "user", "in a cycle"), (51, 3, 2, 1.0, "user", "under it"), (51, 9, 77, 1.0, "user", "orphan"), (51, 10, 10, 0.0, "user", "its own parent")]
-    rows += [(52, 1, 2, 1.0, "user", "only a cycle"), (52, 2, 1, 1.0, "user", "only a cycle"), (None, 1, None, 1.0, "user", "no tree"), (53, None, None, 1.0, "user", "no node")]
+    rows += [(52, 1, 2, 1.0, "user", "only a cycle"), (52, 2, 1, 1.0, "user", "only a cycle"), (None, 1, None, 1.0, "user", "no tree"), (None, 2, 1, 1.0, "user", "no tree either"), (53, None, None, 1.0, "user", "no node")]
     return rows
 
 
@@ -87,16 +87,17 @@ def test_paths(spark, top):
     made = {(x.tree_id, x.path_rank): x for x in reply_trees.conversations(df, top=top).collect()}
     text = {(t, n): (role or "", body or "") for t, n, _, _, role, body in tree_rows()}
     for key in {(t, k) for t, k, _, _ in got}:
-        path = [n for t, k, p, n in sorted(got) if (t, k) == key]
+        path = [n for t, k, p, n in sorted(got, key=lambda x: x[2]) if (t, k) == key]
         assert reply_trees.parse_turns(made[key].formatted) == [text[key[0], n] for n in path]
 
 
 def test_chains_and_read_back(spark):
-    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "b"), (2, None, None, ""), (3, 5, "assistant", "<s>[ROLE]user[/ROLE]x</s>")]
+    rows = [(None, 0, "user", "u"), (None, 1, "assistant", "v"), (1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "b"), (2, None, None, ""), (3, 5, "assistant", "<s>[ROLE]user[/ROLE]x</s>")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in reply_trees.read_back(reply_trees.conversations(reply_trees.chains(df))).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got[1].n_turns == 3 and got[1].turns_sha256 == sha("user\n\nassistant\nb\nassistant\nb\n") and (got[1].loss_chars, got[1].loss_sha256) == (2, sha("bb"))
+    assert got[None].turns_sha256 == sha("user\nu\nassistant\nv\n") and got[None].loss_sha256 == sha("v")
     assert got[2].turns_sha256 == sha("\n\n") and got[2].loss_chars == 0 and got[2].loss_sha256 == sha("")
     assert got[3].loss_sha256 == sha("<s>[ROLE]user[/ROLE]x</s>")
     none = df.limit(0)
