@@ -1,20 +1,20 @@
 """Repeated passages by recompression.
 
-Each text is a sequence of words named by their hashes. Rounds of recompression rename it: first runs (a
-word exactly twice in a row becomes one symbol), then pairs (a symbol whose name falls on the left side of
-a hash coin, followed by one on the right side, becomes one symbol of at most ``MAX_LEN`` words), and pairs
-again. A symbol's name is a function of the names that it replaces, so it is global by construction and no
-round has to exchange names; and whether two symbols join depends on these two alone, so equal passages are
-cut alike except near their ends. By the lengths that symbols can have before each round, at most
-2 + 2 + 4 = 8 words at either end of a passage are cut differently; a window of 50 words keeps 34 that are
-not, and of the symbols that begin among them the one with the least hashed name is the window's anchor.
-Equal windows thus always have equal anchors, in equal contexts: the 22 words about an anchor that every
-window which has it holds.
-
-1. Anchors are posted in their contexts, once for each text; those of a single text are dropped. The name of a whole text
-   (its top symbol) is posted as well: a text that repeats an earlier one is all repeat.
-2. Only windows under a shared anchor are named by 96 bits of their words, and the windows whose name
-   starts in a smaller doc_id are kept as repeats.
+A text is a sequence of symbols, at first its words. A pass names either runs (a symbol n times in a row, n
+of any size, becomes one) or pairs (a symbol on the left side of a hash coin and the one after it, if on
+the right side, become one). A name is a function of what it replaces and whether symbols join depends on
+them alone, so equal passages turn into equal symbols but for a margin at either end, which is followed
+exactly: with each symbol go the last window start and the first window end for which it lies beyond that margin.
+
+A Spark round does some passes and posts the names that result. Only names found in two texts or more come
+back; a symbol whose name does not is dead: it joins with nothing any more, and the windows of which it is
+an inner symbol occur in no other text and are dropped. Rounds go on, on ever longer symbols of ever fewer
+stretches of text, until symbols span a window:
+
+1. Rounds name runs and pairs globally; what is left are the windows all of whose inner symbols are shared.
+   The name of a whole text is posted in two halves of 64 bits: a text that has both from an earlier one is all repeat.
+2. Windows that are left are verified: named by 96 bits of their words, they are kept as repeats if a
+   smaller doc_id has the same.
 3. Words under such a window are removed.
 
 Every shuffle of names is combined before it: within a batch of texts only the smallest doc_id of a name
@@ -25,90 +25,188 @@ all texts hold is a few rows a batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 
-#: Longest symbol, in words, and the words at either end of a passage whose symbols are not settled by it.
-MAX_LEN, EDGE = 6, 8
 #: Windows that a task compares among themselves before it sends them on.
 COMBINE = 1 << 20
 #: Key of rows without a doc_id.
 NOWHERE = -(1 << 63)
-#: Shortest window for which the anchor of a window is sure to exist.
-LEAST_WINDOW = 2 * EDGE + 2 * MAX_LEN
 
 _LEFT, _RIGHT = np.uint64(0xD1B54A32D192ED03), np.uint64(0xABC98388FB8FAC03)
-_RANK, _PLACE = np.uint64(0x2545F4914F6CDD1D), np.uint64((1 << 24) - 1)
-_BASE2 = np.uint64(0xC6A4A7935BD1E995)
-_IBASE2 = np.uint64(pow(int(_BASE2), -1, 1 << 64))
-
-
-def _pair_up(name: np.ndarray, length: np.ndarray, start: np.ndarray, doc: np.ndarray, joins: np.ndarray, salt: int) -> tuple[np.ndarray, ...]:
-    """Replace symbol i and i+1 by one where joins[i]; joins never holds for neighbours."""
-    at = np.flatnonzero(joins)
-    name, length = name.copy(), length.copy()
-    name[at] = tk.mix(name[at] * _LEFT + name[at + 1] * _RIGHT + np.uint64(salt))
-    length[at] += length[at + 1]
-    keep = np.ones(len(name), dtype=bool)
-    keep[at + 1] = False
-    return name[keep], length[keep], start[keep], doc[keep]
-
-
-def symbols(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first word, words) of the symbols of texts after all rounds."""
-    name, doc = w.hash, w.doc_of_word()
-    start, length = np.arange(len(name)), np.ones(len(name), dtype=np.int64)
-    same = np.zeros(len(name) + 1, dtype=bool)
-    same[1:-1] = (name[1:] == name[:-1]) & (doc[1:] == doc[:-1])
-    twice = np.zeros(len(name), dtype=bool)
-    twice[:-1] = same[1:-1] & ~same[:-2] & ~same[2:]
-    name, length, start, doc = _pair_up(name, length, start, doc, twice, 1)
-    for salt in (2, 3):
-        side = (tk.mix(name + np.uint64(salt)) >> np.uint64(63)).astype(bool)
-        joins = np.zeros(len(name), dtype=bool)
-        joins[:-1] = ~side[:-1] & side[1:] & (doc[1:] == doc[:-1]) & (length[:-1] + length[1:] <= MAX_LEN)
-        name, length, start, doc = _pair_up(name, length, start, doc, joins, salt)
-    return name, start, length
-
-
-def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """min(x[i:i+width]) for each i that has so many."""
-    n = len(x)
-    if n < width:
-        return x[:0]
-    pad = -n % width
-    y = np.concatenate([x, np.full(pad, np.iinfo(x.dtype).max, x.dtype)]).reshape(-1, width)
-    left = np.minimum.accumulate(y, axis=1).ravel()
-    right = np.minimum.accumulate(y[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[: n - width + 1], left[width - 1 : n])
-
-
-def anchors(w: tk.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, name of the anchor in its context) of every window of the texts.
-
-    The context are the words about the anchor that every window with this anchor holds.
-    """
-    name, start, _ = symbols(w)
-    reach = window - 2 * EDGE - MAX_LEN + 1  # first words that an anchor may have
-    if len(w.hash) >> 24:
-        raise ValueError("a text has more than 16 million words")
-    # rank by name, then by place, so that of equal symbols the first counts
-    rank = np.full(len(w.hash), np.iinfo(np.uint64).max, dtype=np.uint64)
-    rank[start] = (tk.mix(name ^ _RANK) & ~_PLACE) | start.astype(np.uint64)
-    at = np.flatnonzero(np.arange(len(w.hash)) + window <= np.repeat(w.first[1:], w.counts))
-    anchor = (sliding_min(rank[EDGE:], reach)[at] & _PLACE).astype(np.int64)
-    held = window - (EDGE + reach - 1)  # words from an anchor's first on that all its windows hold
-    return w.doc_of_word()[at], at, tk.span(tk.rolling(w.hash), anchor - EDGE, anchor + held)
+_BEFORE, _AFTER = -(1 << 30), 1 << 30  # a window start, and end, that no window has
+_SYMBOL = np.dtype([("name", "<u8"), ("start", "<i4"), ("end", "<i4"), ("left", "<i4"), ("right", "<i4"), ("dead", "?")])
+
+
+def plan(window: int) -> list[int]:
+    """Pair passes of each round. A pass makes symbols 4/3 as long on average; the last round's are a third of a window."""
+    total = max(2, ceil(log(max(window / 3, 1.4)) / log(4 / 3)))
+    first = min(total - 1, max(1, round(log(max(window / 9, 1)) / log(4 / 3))))
+    return [first] + [min(2, total - k) for k in range(first, total, 2)]
+
+
+@dataclass
+class Parse:
+    """Symbols of several texts over a common count of words; ``left``: the last window start, ``right``: the first window end, for which the symbol is inner."""
+
+    name: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    dead: np.ndarray
+    doc: np.ndarray
+
+    def take(self, keep: np.ndarray) -> Parse:
+        return Parse(*(getattr(self, f)[keep] for f in ("name", "start", "end", "left", "right", "dead", "doc")))
+
+    def beside(self) -> np.ndarray:
+        """Whether each symbol but the last is followed at once by the next one."""
+        return (self.doc[1:] == self.doc[:-1]) & (self.end[:-1] == self.start[1:])
+
+    def neighbours(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(beside, left of the symbol before each, right of the one after each)."""
+        near = self.beside()
+        before, after = np.full(len(self.name), _BEFORE, np.int64), np.full(len(self.name), _AFTER, np.int64)
+        before[1:][near] = self.left[:-1][near]
+        after[:-1][near] = self.right[1:][near]
+        return near, before, after
+
+    def runs(self, salt: int, every: bool) -> Parse:
+        """Name the runs of all symbols, or of a fourth of them by hash: each pass costs the margin a symbol that it may name."""
+        if not len(self.name):
+            return self
+        near, before, after = self.neighbours()
+        may = ~self.dead if every else ~self.dead & (tk.mix(self.name + np.uint64(salt)) >> np.uint64(62) == 0)
+        head = np.ones(len(self.name), dtype=bool)
+        head[1:] = ~(near & may[1:] & may[:-1] & (self.name[1:] == self.name[:-1]))
+        first = np.flatnonzero(head)
+        last = np.append(first[1:], len(head)) - 1
+        n = (last - first + 1).astype(np.uint64)
+        name = self.name[first]
+        name = np.where(n > 1, tk.mix(name * _LEFT + n * _RIGHT + np.uint64(salt)), name)
+        left, right = np.where(may[first], before[first], self.left[first]), np.where(may[last], after[last], self.right[last])
+        return Parse(name, self.start[first], self.end[last], left, right, self.dead[first], self.doc[first])
+
+    def pairs(self, salt: int) -> Parse:
+        """Name the pairs of a left and a right symbol."""
+        if not len(self.name):
+            return self
+        near, before, after = self.neighbours()
+        side = (tk.mix(self.name + np.uint64(salt)) >> np.uint64(63)).astype(bool)
+        joins = np.zeros(len(side), dtype=bool)
+        joins[:-1] = near & ~side[:-1] & side[1:] & ~self.dead[:-1] & ~self.dead[1:]
+        keep = np.ones(len(side), dtype=bool)
+        keep[1:] = ~joins[:-1]
+        first = np.flatnonzero(keep)
+        last = first + joins[first]
+        name = self.name[first]
+        both = joins[first]
+        name[both] = tk.mix(name[both] * _LEFT + self.name[last[both]] * _RIGHT + np.uint64(salt))
+        # a right symbol may have joined one before it in another text, a left symbol one after it
+        left, right = np.where(side[first], before[first], self.left[first]), np.where(side[last], self.right[last], after[last])
+        return Parse(name, self.start[first], self.end[last], left, right, self.dead[first], self.doc[first])
+
+    def round(self, k: int, passes: int) -> Parse:
+        p = self.runs(1000 * k + 1, k == 0)
+        for j in range(passes):
+            p = p.pairs(1000 * k + 2 + j)
+        return p
+
+
+def parse(w: tk.Words) -> Parse:
+    at = np.arange(len(w.hash))
+    return Parse(w.hash, at, at + 1, at, at + 1, np.zeros(len(at), dtype=bool), w.doc_of_word())
+
+
+def _inner(p: Parse, open_: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to) of the window starts for which each symbol is inner: to < from for none."""
+    low = np.maximum(p.right - window, first[p.doc])
+    high = np.minimum(p.left, first[p.doc + 1] - 1)
+    return low, high
+
+
+def posted(p: Parse, open_: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
+    """Whether each symbol is alive and inner to an open window."""
+    low, high = _inner(p, open_, first, window)
+    c = np.concatenate([[0], np.cumsum(open_)])
+    some = (low <= high) & ~p.dead
+    some[some] = c[high[some] + 1] > c[low[some]]
+    return some
+
+
+def close(p: Parse, dead: np.ndarray, open_: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
+    """open_ without the windows that have an inner symbol that is dead."""
+    low, high = _inner(p, open_, first, window)
+    dead = dead & (low <= high)
+    step = np.bincount(low[dead], minlength=len(open_) + 1)[: len(open_) + 1] - np.bincount(high[dead] + 1, minlength=len(open_) + 1)[: len(open_) + 1]
+    return open_ & (np.cumsum(step[:-1]) == 0)
+
+
+def bare(p: Parse, open_: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
+    """Starts of open windows without an inner symbol, as in a long run."""
+    return np.flatnonzero(close(p, np.ones(len(p.name), dtype=bool), open_, first, window))
+
+
+def under(p: Parse, open_: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
+    """Whether each symbol has a word in an open window."""
+    c = np.concatenate([[0], np.cumsum(open_)])
+    return c[p.end] > c[np.maximum(p.start - window + 1, first[p.doc])]
+
+
+def window_starts(first: np.ndarray, window: int) -> np.ndarray:
+    n = np.diff(first)
+    at = np.arange(first[-1]) - np.repeat(first[:-1], n)
+    return at <= np.repeat(n, n) - window
+
+
+def whole_names(w: tk.Words, which: np.ndarray) -> np.ndarray:
+    """128 bits, as two numbers, that name the whole sequence of words of texts."""
+    names = [xxhash.xxh3_128_intdigest(w.hash[w.first[i] : w.first[i + 1]].tobytes()) for i in which]
+    return np.array([(x >> 64, x & (2**64 - 1)) for x in names], dtype=np.uint64).reshape(-1, 2)
+
+
+# ---- what a text is between rounds: its whole name, its open windows and their symbols ----
+
+
+def pack_states(p: Parse, open_: np.ndarray, first: np.ndarray, whole: np.ndarray) -> list[bytes | None]:
+    """A state for each text; None where no window is open."""
+    rec = np.empty(len(p.name), dtype=_SYMBOL)
+    base = first[p.doc]
+    rec["name"], rec["dead"] = p.name, p.dead
+    for f in ("start", "end", "left", "right"):
+        rec[f] = np.clip(getattr(p, f) - base, _BEFORE, _AFTER)
+    cut = np.searchsorted(p.doc, np.arange(len(first)))
+    c = np.concatenate([[0], np.cumsum(open_)])[first]
+    out: list[bytes | None] = []
+    for i in range(len(first) - 1):
+        if c[i] == c[i + 1]:
+            out.append(None)
+        else:
+            out.append(whole[i].tobytes() + int(first[i + 1] - first[i]).to_bytes(8, "little") + np.packbits(open_[first[i] : first[i + 1]]).tobytes() + rec[cut[i] : cut[i + 1]].tobytes())
+    return out
 
 
-def _whole(w: tk.Words) -> np.ndarray:
-    """A name of each text's whole sequence of words."""
-    return tk.mix(tk.span(tk.rolling(w.hash), w.first[:-1], w.first[1:]) ^ np.uint64(0x632BE59BD9B4E019))
+def unpack_states(states: list[bytes]) -> tuple[Parse, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, open windows, first[], whole names)."""
+    sizes = np.array([int.from_bytes(s[16:24], "little") for s in states], dtype=np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    whole = np.array([np.frombuffer(s, "<u8", 2) for s in states], dtype=np.uint64).reshape(-1, 2)
+    bits = [np.unpackbits(np.frombuffer(s, np.uint8, (n + 7) // 8, 24), count=n) for s, n in zip(states, sizes)]
+    recs = [np.frombuffer(s, _SYMBOL, offset=24 + (int(n) + 7) // 8) for s, n in zip(states, sizes)]
+    doc = np.repeat(np.arange(len(states)), [len(r) for r in recs])
+    rec = np.concatenate(recs) if recs else np.zeros(0, _SYMBOL)
+    base = first[doc]
+    p = Parse(rec["name"].copy(), *(rec[f].astype(np.int64) + base for f in ("start", "end", "left", "right")), rec["dead"].copy(), doc)
+    return p, (np.concatenate(bits) if bits else np.zeros(0, np.uint8)).astype(bool), first, whole
 
 
 def _firsts(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -145,56 +243,155 @@ class _Shared:
         return doc[take], name[take], later[take]
 
 
-def _posted(docs: DataFrame, window: int) -> DataFrame:
-    """(route, name, doc_id, settled): names that each text has; settled ones are known to be shared with a smaller doc_id."""
+_POSTED = "route long, name long, doc_id long, settled boolean, state binary"
+
+
+def _postings(name: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows for the names of a batch; settled ones are known to be shared with a smaller doc_id."""
+    order = np.lexsort((own, name))
+    name, own = name[order], own[order]
+    new = np.ones(len(name), dtype=bool)
+    new[1:] = (name[1:] != name[:-1]) | (own[1:] != own[:-1])
+    name, own = name[new], own[new]
+    settled = ~_firsts(name, own)
+    # the smallest one is still to be told that it is not alone: it goes on with the next one as witness
+    witness = np.zeros(len(name), dtype=bool)
+    if len(name):
+        witness[1:] = settled[1:] & ~settled[:-1]
+    route = np.where(settled, tk.mix(own.astype(np.uint64)), name)
+    for flag, part in ((True, settled), (False, ~settled | witness)):
+        n, r = int(part.sum()), (route if flag else name)[part]
+        yield pa.RecordBatch.from_arrays([tk.longs(r), tk.longs(name[part]), pa.array(own[part]), pa.array(np.full(n, flag)), pa.nulls(n, pa.binary())], ["route", "name", "doc_id", "settled", "state"])
+
+
+def _kept(own: np.ndarray, states: list[bytes]) -> pa.RecordBatch:
+    n = len(states)
+    return pa.RecordBatch.from_arrays([tk.longs(tk.mix(own.astype(np.uint64))), pa.nulls(n, pa.int64()), pa.array(own, pa.int64()), pa.array(np.full(n, True)), pa.array(states, pa.binary())], ["route", "name", "doc_id", "settled", "state"])
+
+
+def _told(found: DataFrame) -> DataFrame:
+    """Postings -> key, names (those a text shares, and whether a smaller doc_id has them; may repeat), states."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = _Shared()
         for b in batches:
-            ids = b.column(0).to_numpy()
-            names, owners = [], []
-            for i, j, w in tk.each(b.column(1)):
-                doc, _, a = anchors(w, window)
-                new = np.ones(len(a), dtype=bool)
-                new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])
-                long = np.flatnonzero(w.counts >= window)
-                names += [a[new], _whole(w)[long]]
-                owners += [doc[new] + i, long + i]
-            name, own = np.concatenate(names or [np.zeros(0, np.uint64)]), ids[np.concatenate(owners or [np.zeros(0, np.int64)])]
-            order = np.lexsort((own, name))
-            name, own = name[order], own[order]
-            new = np.ones(len(name), dtype=bool)
-            new[1:] = (name[1:] != name[:-1]) | (own[1:] != own[:-1])
-            name, own = name[new], own[new]
-            settled = ~_firsts(name, own)
-            # the smallest one is still to be told that it is not alone: it goes on with the next one as witness
-            witness = np.zeros(len(name), dtype=bool)
-            if len(name):
-                witness[1:] = settled[1:] & ~settled[:-1]
-            route = np.where(settled, tk.mix(own.astype(np.uint64)), name)
-            for flag, part in ((True, settled), (False, ~settled | witness)):
-                r = (route if flag else name)[part]
-                yield pa.RecordBatch.from_arrays([tk.longs(r), tk.longs(name[part]), pa.array(own[part]), pa.array(np.full(int(part.sum()), flag))], ["route", "name", "doc_id", "settled"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "route long, name long, doc_id long, settled boolean")
-
-
-def _settle(posted: DataFrame) -> DataFrame:
-    """(doc_id, name, later), each name that a text shares; may repeat."""
+            done = b.column(3)
+            yes = b.filter(done)
+            if yes.num_rows:
+                yield pa.RecordBatch.from_arrays([yes.column(2), yes.column(1), pa.array(np.full(yes.num_rows, True)), yes.column(4)], names)
+            if yes.num_rows < b.num_rows:
+                no = b.filter(pa.compute.invert(done))
+                doc, name, later = shared.feed(no.column(1).to_numpy(), no.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(doc), pa.array(later), pa.nulls(len(doc), pa.binary())], ["name", "doc_id", "later", "state"]).select(names)
+
+    names = ["doc_id", "name", "later", "state"]
+    told = found.repartition("route").sortWithinPartitions("settled", "name", "doc_id").mapInArrow(run, "doc_id long, name long, later boolean, state binary")
+    listed = told.groupBy("doc_id").agg(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "later"))).alias("names"), F.collect_list("state").alias("states"))
+    return listed.select(F.coalesce("doc_id", F.lit(NOWHERE)).alias("key"), "names", "states")
+
+
+def _lists(col: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    return col.flatten(), np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy())])
+
+
+def _in_text(name: np.ndarray, owner: np.ndarray, known: np.ndarray, known_owner: np.ndarray) -> np.ndarray:
+    """Whether each text's name is among those known of that text."""
+    return np.isin(tk.mix(name + owner.astype(np.uint64) * _LEFT), tk.mix(known + known_owner.astype(np.uint64) * _LEFT))
+
+
+def _first_round(docs: DataFrame, window: int, passes: int) -> DataFrame:
+    """doc_id, text -> postings of the symbols after the first round, and of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = _Shared()
         for b in batches:
-            name, doc = b.column(1).to_numpy(), b.column(2).to_numpy()
-            settled = b.column(3).to_numpy(zero_copy_only=False)
-            yield _told(doc[settled], name[settled], np.ones(int(settled.sum()), dtype=bool))
-            if not settled.all():
-                yield _told(*shared.feed(name[~settled], doc[~settled]))
+            ids = b.column(0).to_numpy()
+            names, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for i, _, w in tk.each(b.column(1)):
+                p = parse(w).round(0, passes)
+                open_ = window_starts(w.first, window)
+                some, none = posted(p, open_, w.first, window), bare(p, open_, w.first, window)
+                long = np.flatnonzero(w.counts >= window)
+                names += [p.name[some], whole_names(w, long).ravel()]
+                owners += [p.doc[some] + i, np.repeat(long, 2) + i]
+                if len(none):  # such a window goes by its own name
+                    names.append(tk.run_names(w.hash, window, 7)[none])
+                    owners.append(w.doc_of_word()[none] + i)
+            yield from _postings(np.concatenate(names), ids[np.concatenate(owners)])
+
+    return docs.mapInArrow(run, _POSTED)
+
 
-    return posted.repartition("route").sortWithinPartitions("settled", "name", "doc_id").mapInArrow(run, "doc_id long, name long, later boolean")
+def _second_round(found: DataFrame, window: int, passes: list[int]) -> DataFrame:
+    """Texts with their shared names -> postings and states after the second round. A text that an earlier one equals has no window to verify: its state is its whole name alone."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            flat, first = _lists(b.column(2))
+            value, later = flat.field(0).to_numpy().view(np.uint64), flat.field(1).to_numpy(zero_copy_only=False)
+            names, owners, states, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
+            for i, j, w in tk.each(b.column(1)):
+                span = slice(first[i], first[j])
+                v, owner = value[span], np.repeat(np.arange(j - i), np.diff(first[i : j + 1]))
+                long = np.flatnonzero(w.counts >= window)
+                whole = np.zeros((j - i, 2), np.uint64)
+                whole[long] = whole_names(w, long)
+                old = later[span]
+                copy = np.zeros(j - i, dtype=bool)
+                copy[long] = _in_text(whole[long, 0], long, v[old], owner[old]) & _in_text(whole[long, 1], long, v[old], owner[old])
+                p = parse(w).round(0, passes[0])
+                open_ = window_starts(w.first, window) & ~np.repeat(copy, w.counts)
+                alive, none = _in_text(p.name, p.doc, v, owner), bare(p, open_, w.first, window)
+                if len(none):
+                    open_[none] = _in_text(tk.run_names(w.hash, window, 7)[none], w.doc_of_word()[none], v, owner)
+                open_ = close(p, ~alive, open_, w.first, window)
+                p.dead = ~alive
+                p = p.take(under(p, open_, w.first, window)).round(1, passes[1])
+                some = posted(p, open_, w.first, window)
+                names.append(p.name[some])
+                owners.append(p.doc[some] + i)
+                made = pack_states(p, open_, w.first, whole)
+                made = [whole[k].tobytes() if copy[k] else s for k, s in enumerate(made)]
+                have = np.flatnonzero([s is not None for s in made])
+                states += [made[k] for k in have]
+                of.append(have + i)
+            yield from _postings(np.concatenate(names), ids[np.concatenate(owners)])
+            yield _kept(ids[np.concatenate(of)], states)
+
+    return found.mapInArrow(run, _POSTED)
+
+
+def _open_states(names: pa.ListArray, states: pa.ListArray, window: int) -> tuple[np.ndarray, list[bytes], Parse, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each state, states of whole texts that are copies, symbols, open windows, first[], whole names, rows of copies) once dead symbols have closed their windows."""
+    flat, first = _lists(names)
+    value = flat.field(0).to_numpy().view(np.uint64)
+    packed, at = _lists(states)
+    raw = packed.to_pylist()
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    copy = np.array([len(s) == 16 for s in raw], dtype=bool)
+    p, open_, begin, whole = unpack_states([s for s in raw if len(s) != 16])
+    of = row[~copy]
+    alive = _in_text(p.name, of[p.doc], value, np.repeat(np.arange(len(first) - 1), np.diff(first))) if len(p.name) else np.zeros(0, bool)
+    open_ = close(p, ~alive & ~p.dead, open_, begin, window)
+    p.dead = p.dead | ~alive
+    return of, [s for s in raw if len(s) == 16], p, open_, begin, whole, row[copy]
+
+
+def _next_round(told: DataFrame, window: int, k: int, passes: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 2000):
+                cut = b.slice(i, 2000)
+                ids = cut.column(0).to_numpy()
+                of, copies, p, open_, first, whole, copy_rows = _open_states(cut.column(1), cut.column(2), window)
+                p = p.take(under(p, open_, first, window)).round(k, passes)
+                some = posted(p, open_, first, window)
+                yield from _postings(p.name[some], ids[of[p.doc[some]]])
+                made = pack_states(p, open_, first, whole)
+                have = np.flatnonzero([s is not None for s in made])
+                yield _kept(ids[np.concatenate([of[have], copy_rows])], [made[j] for j in have] + copies)
 
-def _told(doc: np.ndarray, name: np.ndarray, later: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(name), pa.array(later)], ["doc_id", "name", "later"])
+    return told.select("key", "names", "states").mapInArrow(run, _POSTED)
 
 
 def _positions(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -209,7 +406,7 @@ def _positions(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
 
 
 def _windows(found: DataFrame, window: int) -> DataFrame:
-    """Texts with their shared names -> (h1, h2, doc_id, at, done): windows to be compared; done: packed windows that are settled as repeats."""
+    """Texts with their names and states -> (h1, h2, doc_id, at, done): windows to be compared; done: packed windows that are settled as repeats."""
     fields = ["h1", "h2", "doc_id", "at", "done"]
 
     def settled(doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -229,24 +426,28 @@ def _windows(found: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, names = b.column(0).to_numpy(), b.column(2)
-            first = np.concatenate([[0], np.cumsum(names.value_lengths().to_numpy())])
-            flat = names.flatten()
-            value, later = flat.field(0).to_numpy().view(np.uint64), flat.field(1).to_numpy(zero_copy_only=False)
+            ids = b.column(0).to_numpy()
+            of, _, _, open_, begin, whole, copy_rows = _open_states(b.column(2), b.column(3), window)
+            # rows that repeat a doc_id share its states: each takes that of its own words
+            mine = {(int(r), *map(int, x)): k for k, (r, x) in enumerate(zip(of, whole))}
+            copies = set(copy_rows.tolist())
             parts, n = [], 0
             for i, j, w in tk.each(b.column(1)):
-                v, owner = value[first[i] : first[j]], np.repeat(np.arange(j - i), np.diff(first[i : j + 1]))
-                copy = np.zeros(j - i, dtype=bool)
-                copy[owner[later[first[i] : first[j]] & (v == _whole(w)[owner])]] = True
-                for t in np.flatnonzero(copy):
-                    last = w.counts[t] - window
-                    yield from settled(np.full(last // window + 2, ids[i + t]), np.append(np.arange(0, last + 1, window), last))
-                doc, at, a = anchors(w, window)
-                # a name counts only in the text that it was told of
-                have = np.isin(tk.mix(a + doc.astype(np.uint64) * _LEFT), tk.mix(v + owner.astype(np.uint64) * _LEFT)) & ~copy[doc]
-                doc, at = doc[have], at[have]
-                h2 = tk.span(tk.rolling(w.hash, _BASE2), at, at + window, _IBASE2) >> np.uint64(33)
-                parts.append((tk.span(tk.rolling(w.hash), at, at + window), h2.astype(np.int32), ids[i:j][doc], (at - w.first[doc]).astype(np.int32)))
+                long = np.flatnonzero(w.counts >= window)
+                flag = np.zeros(len(w.hash), dtype=bool)
+                for t, name in zip(long, whole_names(w, long)):
+                    k = mine.get((int(i + t), *map(int, name)))
+                    if k is not None:
+                        flag[w.first[t] : w.first[t + 1]] = open_[begin[k] : begin[k + 1]]
+                    elif int(i + t) in copies:
+                        last = w.counts[t] - window
+                        yield from settled(np.full(last // window + 2, ids[i + t]), np.append(np.arange(0, last + 1, window), last))
+                at = np.flatnonzero(flag)
+                if not len(at):
+                    continue
+                doc = w.doc_of_word()[at]
+                h2 = (tk.run_names(w.hash, window, 5)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                parts.append((tk.run_names(w.hash, window, 3)[at], h2, ids[i:j][doc], (at - w.first[doc]).astype(np.int32)))
                 n += len(at)
                 if n > COMBINE:
                     yield from combined(parts)
@@ -254,7 +455,7 @@ def _windows(found: DataFrame, window: int) -> DataFrame:
             if parts:
                 yield from combined(parts)
 
-    return found.select("key", "text", "names", "rest").mapInArrow(run, "h1 long, h2 int, doc_id long, at int, done binary")
+    return found.mapInArrow(run, "h1 long, h2 int, doc_id long, at int, done binary")
 
 
 def _repeats(named: DataFrame) -> DataFrame:
@@ -300,15 +501,17 @@ def remove_repeats(docs: DataFrame, *, window: int = 50) -> DataFrame:
     the places found in any of them. Rows without a doc_id come back whole. Other columns of docs stay as they are, but for former n_words,
     n_removed and kept_text, which are replaced. An empty table gives an empty one.
     """
-    if window < LEAST_WINDOW:
-        raise ValueError(f"window must be {LEAST_WINDOW} words or more")
+    if window < 1:
+        raise ValueError("a window has a word at least")
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    # both joins read the texts under a key that is never null and with all columns, so that one exchange serves them
+    # all joins read the texts under a key that is never null and with all columns, so that one exchange serves them
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOWHERE)).alias("key"), "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"))
-    posted = _posted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), window)
-    names = _settle(posted).groupBy("doc_id").agg(F.collect_list(F.struct("name", "later")).alias("names"))
-    names = names.select(F.coalesce("doc_id", F.lit(NOWHERE)).alias("key"), "names")
-    repeats = _repeats(_windows(keyed.join(names, "key"), window)).groupBy("doc_id").agg(F.collect_list("at").alias("gone"))
+    passes = plan(window)
+    told = _told(_first_round(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), window, passes[0]))
+    told = _told(_second_round(keyed.join(told, "key").select("key", "text", "names", "rest"), window, passes))
+    for k in range(2, len(passes)):
+        told = _told(_next_round(told, window, k, passes[k]))
+    repeats = _repeats(_windows(keyed.join(told, "key").select("key", "text", "names", "states", "rest"), window)).groupBy("doc_id").agg(F.collect_list("at").alias("gone"))
     repeats = repeats.select(F.coalesce("doc_id", F.lit(NOWHERE)).alias("key"), "gone")
     packed = keyed.join(repeats, "key", "left").select("text", "gone", "rest")
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Texts are handled in groups of about this many bytes (one text at least), which bounds the scratch arrays.
 GROUP_BYTES = 2 << 20
@@ -20,6 +21,7 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = _BYTE.copy()
 _FOLD[65:91] = _BYTE[97:123]
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _IBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BLANK = np.zeros(256, dtype=bool)
@@ -56,8 +58,40 @@ def rolling(items: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
     return out
 
 
+#: Bytes beyond which a stretch of text is hashed by xxh3: polynomials modulo 2**64 have long inputs that collide whatever the base.
+LONG = 64
+
+
+def stretches(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
+    """Hash of the bytes data[start:end], of which ``prefix`` is the rolling hash."""
+    out = span(prefix, start, end)
+    for k in np.flatnonzero(end - start > LONG):
+        raw = data[start[k] : end[k]].tobytes()
+        out[k] = xxhash.xxh3_64_intdigest(raw.translate(_LOWER) if fold else raw)
+    return out
+
+
+def run_names(items: np.ndarray, width: int, salt: int) -> np.ndarray:
+    """A name of every run of ``width`` items, by doubling: each step mixes the names of two shorter runs, so no structure of the items cancels."""
+    left, right = mix(np.array([salt, salt + 1], dtype=np.uint64)) | np.uint64(1)
+    power, size, out, done = mix(items ^ left), 1, None, 0
+    while True:
+        if width & size:
+            if out is None:
+                out = power
+            else:
+                k = max(len(items) - done - size + 1, 0)
+                out = mix(out[:k] * left + power[done : done + k] * right + np.uint64(size))
+            done += size
+        if done == width:
+            return out[: max(len(items) - width + 1, 0)]
+        k = max(len(power) - size, 0)
+        power = mix(power[:k] * left + power[size : size + k] * right)
+        size *= 2
+
+
 def span(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, ibase: np.uint64 = _IBASE) -> np.ndarray:
-    """Position-free hash of items[start:end]."""
+    """Position-free hash of items[start:end]; for short stretches."""
     return mix((prefix[end] - prefix[start]) * powers(ibase, len(prefix))[start] + (end - start).astype(np.uint64))
 
 
@@ -127,7 +161,7 @@ def words(data: np.ndarray, off: np.ndarray, fold: bool = False) -> Words:
     start = np.flatnonzero(inside & (edge[:-1] | ~before))
     end = np.flatnonzero(inside & (edge[1:] | ~after)) + 1
     prefix = rolling((_FOLD if fold else _BYTE)[data])
-    return Words(data, off, start, end, np.searchsorted(start, off), span(prefix, start, end), prefix)
+    return Words(data, off, start, end, np.searchsorted(start, off), stretches(data, prefix, start, end, fold), prefix)
 
 
 def each(col: pa.Array, fold: bool = False) -> Iterator[tuple[int, int, Words]]:

@@ -59,7 +59,7 @@ def count(w: tk.Words) -> list[np.ndarray]:
     begin[head] = w.off[owner[head]]
     has_word = np.searchsorted(w.start, stop) > np.searchsorted(w.start, begin)
     salt = tk.mix(np.arange(n_docs, dtype=np.uint64) + np.uint64(7))
-    lines, of = tk.span(w.prefix, begin[has_word], stop[has_word]), owner[has_word]
+    lines, of = tk.stretches(w.data, w.prefix, begin[has_word], stop[has_word]), owner[has_word]
     dup, _ = _again(tk.mix(lines + salt[of]))
     h, first = shingle_hashes(w, 3)
     many = w.counts >= 3
@@ -178,7 +178,7 @@ def _voted(profiled: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def _posteriors(voted: DataFrame, cols: list[str]) -> Column:
     """P(good) of a row by its votes, fitted on all rows of ``voted``."""
-    rows = voted.groupBy(*cols).count().collect()  # at most 3 ** len(cols)
+    rows = sorted(voted.groupBy(*cols).count().collect())  # at most 3 ** len(cols), in an order of their own so that sums come out alike
     patterns = np.array([[r[c] for c in cols] for r in rows], dtype=np.int64).reshape(-1, len(cols))
     model = fit(patterns, np.array([r["count"] for r in rows], dtype=float))
     codes = (patterns * 3 ** np.arange(len(cols))).sum(axis=1)

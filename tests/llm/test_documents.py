@@ -236,30 +236,73 @@ def test_repeats(spark, monkeypatch, combine):
     assert sorted(map(str, [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got.select("doc_id", "n_words", "n_removed", "kept_text").collect()])) == sorted(map(str, brute_repeats(rows, 50)))
 
 
-def test_other_windows(spark):
+@pytest.mark.parametrize("window", [2, 9, 33])
+def test_other_windows(spark, window):
     rows = repeat_rows()
-    for window in (recompress.LEAST_WINDOW, 33):
-        got = recompress.remove_repeats(spark.createDataFrame(rows, SCHEMA), window=window)
-        assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got.collect()) == sorted(brute_repeats(rows, window))
-    with pytest.raises(ValueError):
-        recompress.remove_repeats(spark.createDataFrame(rows, SCHEMA), window=20)
+    got = recompress.remove_repeats(spark.createDataFrame(rows, SCHEMA), window=window)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got.collect()) == sorted(brute_repeats(rows, window))
 
 
-def test_equal_windows_have_equal_anchors():
+def parsed(text, rounds):
     import pyarrow as pa
 
-    r = random.Random(2)
-    words = ["a", "b", "c"]
-    text = prose(r, 3000, words) + " a" * 70 + " b" * 70
-    names = defaultdict(set)
-    tokens = text.split()
-    for other in (text, prose(r, 17, words) + " " + text, "b " + " ".join(tokens[5:2500])):
-        for _, _, w in textkit.each(pa.array([other])):
-            _, at, name = recompress.anchors(w, 50)
-            t = other.split()
-            for k, n in zip(at, name):
-                names[tuple(t[k : k + 50])].add(int(n))
-    assert all(len(v) == 1 for v in names.values())
+    ((_, _, w),) = list(textkit.each(pa.array([text])))
+    p = recompress.parse(w)
+    for k, n in enumerate(rounds):
+        p = p.round(k, n)
+    return p
+
+
+@pytest.mark.parametrize("rounds", [[1], [3], [6], [6, 2], [6, 2, 2], [2, 2, 2, 2, 2, 2]])
+def test_inner_symbols_are_those_of_every_equal_window(rounds):
+    r = random.Random(len(rounds))
+    for words, n in ((["a", "b"], 400), (["a", "b", "c"], 700), (vocabulary(50, 1), 700)):
+        text = prose(r, n, words) + " a" * 120 + " b c" * 60 + " " + prose(r, 100, words)
+        tokens = text.split()
+        other = " ".join([r.choice(words), *tokens[3 : n - 100], r.choice(words), *tokens[n - 50 :]])
+        inner = defaultdict(set)
+        for t in (text, other, prose(r, 17, words) + " " + text):
+            p, tokens_ = parsed(t, rounds), t.split()
+            for a in range(len(tokens_) - 49):
+                inside = (p.left >= a) & (p.right <= a + 50)
+                assert ((p.start[inside] >= a) & (p.end[inside] <= a + 50)).all()
+                inner[tuple(tokens_[a : a + 50])].add(tuple((int(x), int(s) - a) for x, s in zip(p.name[inside], p.start[inside])))
+        assert all(len(v) == 1 for v in inner.values())
+        assert any(v != {()} for v in inner.values()) or sum(rounds) > 8
+
+
+def test_symbols_grow_and_runs_are_one():
+    p = parsed("x " * 100_000, recompress.plan(50))
+    assert len(p.name) == 1
+    q = parsed(prose(random.Random(1), 50_000, vocabulary(3000, 2)), recompress.plan(50))
+    assert 10 < 50_000 / len(q.name) < 30
+
+
+def test_texts_of_like_names_are_not_copies(spark, monkeypatch):
+    """A text goes as a copy only if both halves of its name are an earlier text's; structured texts of equal polynomial hash do not."""
+    x = ["u", "v"]
+    for _ in range(11):
+        x = x + [{"u": "v", "v": "u"}[c] for c in x]
+    y = [{"u": "v", "v": "u"}[c] for c in x]
+    r = random.Random(3)
+    filler = vocabulary(5000, 12)
+    rows = [(k, " ".join(w for c in t for w in (c * 70, "sep" + c)), "en", "a", 1) for k, t in ((1, x[:64] + r.sample(filler, 100)), (2, y[:64] + r.sample(filler, 100)))]
+    rows += [(3, " ".join(r.sample(filler, 80)), "en", "a", 1)]
+    rows += [(4, rows[2][1], "en", "a", 1), (5, rows[2][1] + " more", "en", "a", 1)]
+    rows += [(6, "".join(x), "en", "a", 1), (7, "".join(y), "en", "a", 1)]
+    got = recompress.remove_repeats(spark.createDataFrame(rows, SCHEMA))
+    assert sorted((g.doc_id, g.n_words, g.n_removed, g.kept_text) for g in got.collect()) == sorted(brute_repeats(rows, 50))
+
+
+def test_long_words_differ():
+    import pyarrow as pa
+
+    x = "a"
+    for _ in range(12):
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    w = textkit.words(*textkit.buffers(pa.array([f"{x} {y} {x.upper()}"])), fold=True)
+    assert w.hash[0] != w.hash[1] and w.hash[0] == w.hash[2]
 
 
 # ---- 3: quality ----
