@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import settle
+
 #: Hash classes of each (source, size class).
 SPREAD = 64
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,8 +70,9 @@ def copies(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), cap: floa
     ``row``; an empty table gives an empty one.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *([F.struct(*docs.columns).alias("row")] if carry else []))
-    placed = base.withColumns({"size_class": _size_class(F.col("size")), "spread": F.pmod(_digits(key, 1, 6), F.lit(SPREAD)).cast("int")})
+    counted = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    counted = counted if carry else settle(counted)  # texts are read once, unless they come along
+    placed = counted.withColumns({"size_class": _size_class(F.col("size")), "spread": F.pmod(_digits(key, 1, 6), F.lit(SPREAD)).cast("int")})
     place = ["source", "size_class", "spread"]
     blocks = placed.groupBy(*place).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     goal = targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), weights=weights, cap=cap)

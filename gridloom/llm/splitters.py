@@ -2,8 +2,8 @@
 
 Records are ordered by a hash of their text, so equal texts lie together. A sample in which a record's chance
 is proportional to its size gives the splitters, which are quantiles of the bytes; they cut the hashes into
-many more ranges than shards. Ranges that come out too large (a hot text, or chance) are subdivided by a hash
-of doc_id. Then the true bytes of the ranges are summed, and ranges go to shards in order, each to the shard
+many more ranges than shards. Ranges that come out too large are subdivided by another hash of the text, and
+what is still too large (a hot text) by a hash of doc_id. Then the true bytes of the ranges are summed, and ranges go to shards in order, each to the shard
 in whose share of all bytes its middle lies.
 """
 
@@ -53,20 +53,30 @@ def shard(docs: DataFrame, *, n_shards: int = 8) -> DataFrame:
     # a record stands for each time that the line of sizes, from a random place in it, crosses a mark: size / mark times
     mark = max(1.0, total / (RANGES * SAMPLES))
     drawn = rows.select("key", F.floor(F.col("size") / mark + _unit("doc_id", "key")).alias("times")).where("times > 0")
-    quantile = F.percentile("key", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.col("times"))
-    # keys are exact as doubles only to 53 bits, so splitters are too, and so is the order
+    # keys are told apart to 53 bits; the sample has about RANGES * SAMPLES marks, so one task can sort it
     coarse = F.shiftright("key", 11)
-    cuts = drawn.withColumn("key", coarse).agg(quantile.alias("q")).first()["q"] or []
-    cuts = sorted({int(-(-x // 1)) for x in cuts})
+    marks = drawn.groupBy(coarse.alias("key")).agg(F.sum("times").alias("times"))
+    line = Window.orderBy("key")
+    upto = F.sum("times").over(line)
+    step = F.lit(RANGES) / F.sum("times").over(Window.partitionBy())
+    # the key at which the running weight crosses a multiple of 1 / RANGES
+    crossed = marks.select("key", F.floor(upto * step).alias("now"), F.floor((upto - F.col("times")) * step).alias("before")).where("now > before").select("key")
+    cuts = sorted(r["key"] + 1 for r in crossed.collect())[:-1]  # RANGES at most; the last key has the whole weight
     ranged = rows.withColumn("range", _range_of(coarse, cuts))
     # ranges beyond twice their share are subdivided
     share = max(1.0, total / RANGES)
     over = ranged.groupBy("range").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > 2 * share)
     over = over.select(F.col("range").alias("o_range"), F.ceil(F.col("bytes") / share).cast("int").alias("parts"))
     ranged = ranged.join(F.broadcast(over), F.col("range") == F.col("o_range"), "left")  # at most RANGES rows
-    ranged = ranged.withColumn("part", F.coalesce(F.floor(_unit(F.lit(9), "doc_id") * F.col("parts")), F.lit(0)).cast("int"))
+    # by text, so equal texts stay together; what a single text makes too large is then cut by doc_id
+    ranged = ranged.withColumn("piece", F.coalesce(F.floor(_unit(F.lit(8), "key") * F.col("parts")), F.lit(0)).cast("int"))
+    hot = ranged.where("parts is not null").groupBy("range", "piece").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > 2 * share)
+    hot = hot.select(F.col("range").alias("h_range"), F.col("piece").alias("h_piece"), F.ceil(F.col("bytes") / share).cast("int").alias("cuts"))
+    ranged = ranged.join(F.broadcast(hot), (F.col("range") == F.col("h_range")) & (F.col("piece") == F.col("h_piece")), "left")  # at most RANGES / 2 rows
+    spread = F.floor(_unit(F.lit(9), "doc_id") * F.col("cuts"))
+    ranged = ranged.withColumn("part", F.struct("piece", F.coalesce(spread, F.lit(0)).cast("int").alias("cut")))
     ranges = ranged.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    # at most 3 * RANGES rows: one task numbers them
+    # at most some RANGES rows: one task numbers them
     line = Window.orderBy("range", "part")
     ranges = ranges.withColumn("middle", F.sum("bytes").over(line) - F.col("bytes") / 2)
     ranges = ranges.withColumn("shard", F.least(F.floor(F.col("middle") * n_shards / F.lit(total)), F.lit(n_shards - 1)).cast("int"))
