@@ -207,15 +207,38 @@ def brute_links(rows, cosine):
     return [(i, k, root(i) if i is not None else None) for (i, _, _), k in zip(rows, n)]
 
 
-@pytest.mark.parametrize("block", [4096, 25])
-def test_vectors(spark, block):
+@pytest.mark.parametrize("block,part_miss", [(8192, 1e-4), (25, 1e-6)])
+def test_vectors(spark, block, part_miss):
     rows = vector_rows()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"rep": F.lit(1), "place": F.lit("x"), "name": F.lit("x"), "v": F.lit(2), "n": F.lit(3), "weight": F.lit(0), "component": F.lit(0)})
-    got = projcount.links(df, cosine=0.93, block=block).collect()
+    got = projcount.links(df, cosine=0.93, block=block, part_miss=part_miss).collect()
     assert sorted(map(str, [(r.vec_id, r.n_links, r.component_id) for r in got])) == sorted(map(str, brute_links(rows, 0.93)))
     assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in got)
 
 
+def test_a_cell_of_like_vectors_is_cut_into_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in (np.ones(8) + rng.standard_normal(8) * 0.2).astype(np.float32)], 1) for k in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = projcount.links(df, cosine=0.93, block=10, part_miss=1e-6).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute_links(rows, 0.93))
+
+
+def test_partitions_hold_what_they_promise():
+    rng = np.random.default_rng(1)
+    assert projcount.partitions(8192, 0.93, 8192, 1e-4) == (0, 1)
+    bits, trees = projcount.partitions(100_000, 0.93, 8192, 1e-2)
+    a = rng.standard_normal((4000, 32))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    c = rng.standard_normal((4000, 32))
+    c -= (a * c).sum(1)[:, None] * a
+    c /= np.linalg.norm(c, axis=1)[:, None]
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * c
+    d = rng.standard_normal((32, trees * bits))
+    same = ((a @ d > 0) == (b @ d > 0)).reshape(4000, trees, bits).all(axis=2).any(axis=1)
+    assert (~same).mean() < 0.02
+
+
 def test_no_vectors(spark):
     assert projcount.links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     only = spark.createDataFrame([(1, None, 0), (2, [1.0, 0.0], None)], "vec_id long, embedding array<float>, label int")
