@@ -172,6 +172,15 @@ def forest(label: np.ndarray, active: np.ndarray, guest: np.ndarray, near: Calla
     return out
 
 
+#: Rows of a table of heavy groups up to which it is broadcast (some 16 MB); beyond, joins shuffle it.
+SMALL = 1_000_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table``, which is settled, to be broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
 def spanning_links(members: DataFrame, key: str, heavy: DataFrame, weight: str, limit: int, connect: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], list[tuple[int, int]]]) -> DataFrame:
     """members (key, doc_id, ...) -> (a, b): links that span, group by group of ``key``, all that ``connect`` finds in the group.
 
@@ -200,9 +209,11 @@ def spanning_links(members: DataFrame, key: str, heavy: DataFrame, weight: str,
         return rows.select(cols).repartition(key, "block").sortWithinPartitions(key, "block").mapInArrow(run, "a long, b long").distinct()
 
     yes, no = F.lit(True), F.lit(False)
+    whole = {"block": F.lit(0), "label": F.col("doc_id"), "active": yes, "guest": no}
     if not heavy.head(1):
-        return meet(members.withColumns({"block": F.lit(0), "label": F.col("doc_id"), "active": yes, "guest": no}))
-    light = meet(members.join(heavy, key, "left_anti").withColumns({"block": F.lit(0), "label": F.col("doc_id"), "active": yes, "guest": no}))
+        return meet(members.withColumns(whole))
+    heavy = small(heavy)
+    light = meet(members.join(heavy, key, "left_anti").withColumns(whole))
     n_blocks = F.ceil(F.col(weight) / F.lit(limit)).cast("int")
     hot = members.join(heavy, key).withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int"))
     hot = settle(hot.drop(weight))
@@ -223,7 +234,19 @@ def candidate_links(reps: DataFrame, n_coords: int, min_match: int, list_limit:
     """reps (doc_id, sig, tokens) -> (a, b): a forest which, list by list, spans all pairs with enough matches."""
     before = F.transform("tokens", lambda x, k: F.struct(x.alias("token"), F.when(k > 0, F.element_at("tokens", k)).alias("prior")))
     posted = reps.select(F.explode(before).alias("x"), "doc_id", "sig").select("x.token", "doc_id", F.coalesce("x.prior", F.lit(0)).alias("prior"), "sig")
-    heavy = reps.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n_posted")).where(F.col("n_posted") > list_limit)
+    def longer(lists: DataFrame) -> DataFrame:
+        return settle(lists.groupBy("token").agg(F.count("*").alias("n_posted")).where(F.col("n_posted") > list_limit))
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            token, sig = b.column(0).to_numpy().view(np.uint64), _sig_matrix(pa.chunked_array([b.column(3)]), n_coords)
+            at = (token & np.uint64(63)).astype(np.int64)
+            for k in range(1, n_coords - min_match + 2):
+                r = np.flatnonzero(at < k)
+                if len(r):
+                    name = tk.mix(token[r] ^ tk.mix(sig[r, k].astype(np.uint64) << np.uint64(8) | np.uint64(k)))
+                    part = b.take(pa.array(r))
+                    yield pa.RecordBatch.from_arrays([tk.longs(name), part.column(1), pa.array(np.zeros(len(r), np.int64)), part.column(3)], ["token", "doc_id", "prior", "sig"])
 
     def connect(t: pa.Table, label: np.ndarray, active: np.ndarray, guest: np.ndarray) -> list[tuple[int, int]]:
         # skip merging: a pair that shares the list of the coordinate before as well met there, by the same rule at its first one
@@ -238,7 +261,16 @@ def candidate_links(reps: DataFrame, n_coords: int, min_match: int, list_limit:
 
         return forest(label, active, guest, near)
 
-    return spanning_links(posted, "token", settle(heavy), "n_posted", list_limit, connect)
+    long_lists = longer(reps.select(F.explode("tokens").alias("token")))
+    if not long_lists.head(1):
+        return spanning_links(posted, "token", long_lists, "n_posted", list_limit, connect)
+    # a long list is parted by the coordinate of the second match, which a pair with enough matches has by coordinate n - m + 1;
+    # what is still long then is mostly a family of copies
+    long_lists = small(long_lists)
+    light = spanning_links(posted.join(long_lists, "token", "left_anti"), "token", long_lists.limit(0), "n_posted", list_limit, connect)
+    parted = posted.join(long_lists.select("token"), "token").select("token", "doc_id", "prior", "sig").mapInArrow(refine, "token long, doc_id long, prior long, sig binary")
+    parted = settle(parted)
+    return light.union(spanning_links(parted, "token", longer(parted), "n_posted", list_limit, connect))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, n_coords: int = 32, min_match: int = 13, list_limit: int = 4096, family_limit: int = 2_000_000) -> DataFrame:
