@@ -43,9 +43,14 @@ _NARROW: dict[int, dict[int, int]] = {
 }
 
 
+def narrower(code: int) -> list[tuple[int, int]]:
+    """(the two bits, type) that an offset may be narrowed to, narrowest first."""
+    return sorted(_NARROW.get(code, {}).items(), reverse=True)
+
+
 def narrow(z: float, code: int) -> tuple[int, int]:
     """(the two bits, type) of the narrowest form that holds z exactly."""
-    for bits, small in sorted(_NARROW.get(code, {}).items(), reverse=True):
+    for bits, small in narrower(code):
         low, high = value_range(small)
         if low <= z <= high and (float(np.float32(z)) == z if small == FLOAT32 else float(z).is_integer()):
             return bits, small
