@@ -209,8 +209,25 @@ def noise_cut(noisy: np.ndarray) -> float:
     return float((1 << kept) >> 1)
 
 
-def encode_band(a: np.ndarray, mask: np.ndarray, max_error: float, h: Header, store_mask: bool, drop_noise_bits: float | None = None) -> bytes:
-    """One sub-blob. a: [row, col, depth] without NaN at valid pixels."""
+@dataclass
+class BandPlan:
+    """What a band takes in each form (0: not possible or not tried), and the form chosen."""
+
+    n_valid: int = 0
+    max_error: float = 0.0
+    mask_bytes: int = 0
+    range_bytes: int = 0
+    tiles_8: int = 0
+    tiles_16: int = 0
+    codes: int = 0
+    planes: int = 0
+    sweep: int = 0
+    form: str = "header"
+    n_bytes: int = 0
+
+
+def encode_band(a: np.ndarray, mask: np.ndarray, max_error: float, h: Header, store_mask: bool, drop_noise_bits: float | None = None, plan: BandPlan | None = None) -> bytes:
+    """One sub-blob. a: [row, col, depth] without NaN at valid pixels. With ``plan``, that is filled in and no bytes are made."""
     integer = dtypes.is_integer(h.dtype)
     n_valid, pixels = int(mask.sum()), mask.size
     every = n_valid == pixels
@@ -222,7 +239,11 @@ def encode_band(a: np.ndarray, mask: np.ndarray, max_error: float, h: Header, st
     if not integer and e > 0 and n_valid:
         e = raised_error(a[mask].ravel(), e)
     h = replace(h, max_error=e, n_valid=n_valid, z_min=0.0, z_max=0.0, block=8)
-    raw_mask = runs.squeeze(np.packbits(mask.ravel())) if 0 < n_valid < pixels and store_mask else b""
+    stored = 0 < n_valid < pixels and store_mask
+    if plan is not None:
+        plan.n_valid, plan.max_error = n_valid, e
+        plan.mask_bytes = 4 + (runs.squeezed_size(np.packbits(mask.ravel())) if stored else 0)
+    raw_mask = runs.squeeze(np.packbits(mask.ravel())) if stored and plan is None else b""
     body = [struct.pack("<i", len(raw_mask)) + raw_mask]
     if n_valid:
         values = a[mask]
@@ -231,14 +252,20 @@ def encode_band(a: np.ndarray, mask: np.ndarray, max_error: float, h: Header, st
         if h.z_min != h.z_max:
             if h.version >= 4:
                 body.append(low.astype(a.dtype).tobytes() + high.astype(a.dtype).tobytes())
+                if plan is not None:
+                    plan.range_bytes = len(body[-1])
             if h.version < 4 or (low != high).any():
-                h, data = _encode_values(a, mask, None if every else mask, values, h)
+                h, data = _encode_values(a, mask, None if every else mask, values, h, plan)
                 body += data
+    if plan is not None:
+        plan.n_bytes += header_size(h.version) + plan.mask_bytes + plan.range_bytes
+        return b""
     return _sealed(h, b"".join(body))
 
 
-def _encode_values(a: np.ndarray, mask: np.ndarray, gaps: np.ndarray | None, values: np.ndarray, h: Header) -> tuple[Header, list[bytes]]:
-    tiling, parts = write_tiles(a, gaps, h, 8)
+def _encode_values(a: np.ndarray, mask: np.ndarray, gaps: np.ndarray | None, values: np.ndarray, h: Header, plan: BandPlan | None) -> tuple[Header, list[bytes]]:
+    emit, wide = plan is None, 0
+    tiling, parts = write_tiles(a, gaps, h, 8, emit)
     mode, size, other, lengths, symbols, coded = TILES, tiling, 0, None, None, b""
     if h.codes_possible:
         found, code_mode, lengths, symbols = _code_plan(a, mask, h)
@@ -252,10 +279,17 @@ def _encode_values(a: np.ndarray, mask: np.ndarray, gaps: np.ndarray | None, val
             mode, size = BYTE_PLANES, other
     sweep = values.size * a.dtype.itemsize
     if tiling * 8 < mask.size * h.n_depth * 1.5 and tiling < 4 * sweep and (other == 0 or tiling < 2 * other) and max(h.n_rows, h.n_cols) > 8:
-        wide, wide_parts = write_tiles(a, gaps, h, 16)
+        wide, wide_parts = write_tiles(a, gaps, h, 16, emit)
         if wide <= size:
             mode, size, parts, h = TILES, wide, wide_parts, replace(h, block=16)
     flagged = h.codes_possible or h.planes_possible
+    if plan is not None:
+        plan.tiles_8, plan.tiles_16, plan.sweep = tiling, wide, sweep
+        plan.codes, plan.planes = (other, 0) if h.codes_possible else (0, other)
+        swept = sweep <= size + flagged
+        plan.form = "sweep" if swept else (f"tiles {h.block}", "delta codes", "codes", "byte planes")[mode]
+        plan.n_bytes = 1 + (sweep if swept else size + flagged)
+        return h, []
     if sweep <= size + flagged:
         return h, [b"\x01", values.tobytes()]
     if mode == BYTE_PLANES:
@@ -464,6 +498,29 @@ def encode(values: np.ndarray, mask: np.ndarray | None = None, max_error: float
     NaN and no-data values become invalid where all depths of a pixel are; where only some are, version 6
     keeps them by the no-data value and earlier ones replace NaN by the type's lowest value.
     """
+    out = [encode_band(c.values, c.mask, c.max_error, h, store, drop_noise_bits) for c, h, store in _prepared(values, mask, max_error, no_data, version)]
+    raw = b"".join(out)
+    if len(raw) > 2**32 - 1:
+        raise OverflowError("the blob is more than 4 GB")
+    return raw
+
+
+def plan_encoding(values: np.ndarray, mask: np.ndarray | None = None, max_error: float = 0.0, *, no_data: list[float | None] | None = None, version: int = LATEST, drop_noise_bits: float | None = None) -> list[BandPlan]:
+    """What :func:`encode` would choose for each band and the bytes it would take, without making them."""
+    plans = []
+    for c, h, store in _prepared(values, mask, max_error, no_data, version):
+        plans.append(BandPlan())
+        encode_band(c.values, c.mask, c.max_error, h, store, drop_noise_bits, plans[-1])
+    return plans
+
+
+def encoded_size(values: np.ndarray, mask: np.ndarray | None = None, max_error: float = 0.0, **options: object) -> int:
+    """Bytes that :func:`encode` takes, without making them."""
+    return sum(p.n_bytes for p in plan_encoding(values, mask, max_error, **options))
+
+
+def _prepared(values: np.ndarray, mask: np.ndarray | None, max_error: float, no_data: list[float | None] | None, version: int):
+    """(cleaned band, header, whether its mask is stored) of each band."""
     a = as_four(values)
     code = dtypes.code_of(a.dtype)
     a = a.astype(dtypes.DTYPES[code], copy=False)
@@ -478,7 +535,7 @@ def encode(values: np.ndarray, mask: np.ndarray | None = None, max_error: float
     if n_rows * n_cols * n_depth * a.dtype.itemsize > 2**31 - 1:
         raise OverflowError("a band is more than 2 GB")
     masks = np.ones((n_bands, n_rows, n_cols), bool) if mask is None else np.broadcast_to(np.asarray(mask, bool), (n_bands, n_rows, n_cols))
-    out, before = [], None
+    before = None
     for k in range(n_bands):
         c = clean(a[k], masks[k], max_error, no_data[k] if no_data else None, version)
         store = before is None or not np.array_equal(before, c.mask)
@@ -486,17 +543,8 @@ def encode(values: np.ndarray, mask: np.ndarray | None = None, max_error: float
         h = Header(version, 0, n_rows, n_cols, n_depth, dtype=code, more=n_bands - 1 - k, no_data_used=c.mixed, all_int=c.all_int)
         if c.mixed:
             h = replace(h, no_data=c.no_data, no_data_orig=float(given) if no_data and no_data[k] is not None else c.no_data)
-        out.append(encode_band(c.values, c.mask, c.max_error, h, store, drop_noise_bits))
+        yield c, h, store
         before = c.mask
-    raw = b"".join(out)
-    if len(raw) > 2**32 - 1:
-        raise OverflowError("the blob is more than 4 GB")
-    return raw
-
-
-def encoded_size(values: np.ndarray, mask: np.ndarray | None = None, max_error: float = 0.0, **options: object) -> int:
-    """Bytes that :func:`encode` takes."""
-    return len(encode(values, mask, max_error, **options))
 
 
 def bands(raw: bytes, at: int = 0):

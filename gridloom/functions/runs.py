@@ -49,28 +49,33 @@ def squeezed_size(b: np.ndarray) -> int:
 
 def expand(raw: bytes, at: int, size: int) -> np.ndarray:
     """The bytes of :func:`squeeze`, of which there must be ``size``."""
-    out, have = [], 0
+    out, have, end = [], 0, len(raw)
     while True:
-        if at + 2 > len(raw):
+        if at + 2 > end:
             raise Truncated("runs")
-        k = int.from_bytes(raw[at : at + 2], "little", signed=True)
+        k = raw[at] | raw[at + 1] << 8
         at += 2
-        if k == -32768:
+        if k == 32768:
             break
-        if k > 0:
-            out.append(np.frombuffer(raw, np.uint8, k, at) if at + k <= len(raw) else None)
-            at += k
-        else:
-            out.append(np.full(-k, raw[at], np.uint8) if at < len(raw) else None)
+        if k > 32768:
+            k = 65536 - k
+            if at >= end:
+                raise Truncated("runs")
+            out.append(raw[at : at + 1] * k)
             at += 1
-        if out[-1] is None:
-            raise Truncated("runs")
-        have += abs(k)
+        else:
+            # 0 says nothing and stands before a byte of its own, as a repeat does
+            took = k or 1
+            if at + took > end:
+                raise Truncated("runs")
+            out.append(raw[at : at + k])
+            at += took
+        have += k
         if have > size:
             raise Truncated("runs")
     if have != size:
         raise Truncated("runs")
-    return np.concatenate(out) if out else np.zeros(0, np.uint8)
+    return np.frombuffer(b"".join(out), np.uint8)
 
 
 def nibble_runs(b: np.ndarray) -> bytes:

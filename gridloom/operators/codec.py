@@ -46,19 +46,48 @@ def encode_pixels(pix: DataFrame, code: int, max_error: float = 0.0, *, no_data:
     dtype = dtypes.DTYPES[code]
 
     def run(t: pa.Table) -> pa.Table:
-        values, valid = grid_of(t)
-        any_valid = valid.any(axis=3)
-        part = any_valid[..., None] & ~valid
-        use = bool(part.any())
-        if use:
-            if no_data is None:
-                raise ValueError("depths of a pixel differ in validity and no no-data value is given")
-            values[part] = no_data
-        blob = container.encode(values.astype(dtype), any_valid, max_error, no_data=[no_data] * len(values) if no_data is not None else None, version=version, drop_noise_bits=drop_noise_bits)
+        values, any_valid, given = _filled(t, no_data)
+        blob = container.encode(values.astype(dtype), any_valid, max_error, no_data=given, version=version, drop_noise_bits=drop_noise_bits)
         return pa.table({"raster_id": pa.array([t.column("raster_id")[0].as_py()], pa.string()), "blob": pa.array([blob], pa.binary())})
 
+    return _by_raster(pix).applyInArrow(run, "raster_id string, blob binary")
+
+
+PLAN = "raster_id string, band int, n_valid long, max_error double, mask_bytes long, range_bytes long, tiles_8 long, tiles_16 long, codes long, planes long, sweep long, form string, n_bytes long"
+PLAN_FIELDS = [x.split()[0] for x in PLAN.split(", ")][2:]
+
+
+def plan_bands(pix: DataFrame, code: int, max_error: float = 0.0, *, no_data: float | None = None, version: int = container.LATEST) -> DataFrame:
+    """Pixels -> by raster and band, the bytes in each form, the form chosen and the bytes in all (those of :func:`encode_pixels`), without encoding."""
+    dtype = dtypes.DTYPES[code]
+
+    def run(t: pa.Table) -> pa.Table:
+        values, any_valid, given = _filled(t, no_data)
+        plans = container.plan_encoding(values.astype(dtype), any_valid, max_error, no_data=given, version=version)
+        name = t.column("raster_id")[0].as_py()
+        return pa.Table.from_pylist([{"raster_id": name, "band": k, **{f: getattr(p, f) for f in PLAN_FIELDS}} for k, p in enumerate(plans)], schema=_PLAN_ARROW)
+
+    return _by_raster(pix).applyInArrow(run, PLAN)
+
+
+_PLAN_ARROW = pa.schema([(x.split()[0], {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[x.split()[1]]) for x in PLAN.split(", ")])
+
+
+def _by_raster(pix: DataFrame):  # noqa: ANN202
     cols = [F.coalesce("value", F.lit(float("nan"))).alias("value") if c == "value" else c for c in ("raster_id", "band", "row", "col", "depth", "value", "valid")]
-    return pix.select(*cols).groupBy("raster_id").applyInArrow(run, "raster_id string, blob binary")
+    return pix.select(*cols).groupBy("raster_id")
+
+
+def _filled(t: pa.Table, no_data: float | None) -> tuple[np.ndarray, np.ndarray, list[float] | None]:
+    """(values with ``no_data`` at invalid depths of valid pixels, valid pixels, no-data value by band) of a raster's pixels."""
+    values, valid = grid_of(t)
+    any_valid = valid.any(axis=3)
+    part = any_valid[..., None] & ~valid
+    if part.any():
+        if no_data is None:
+            raise ValueError("depths of a pixel differ in validity and no no-data value is given")
+        values[part] = no_data
+    return values, any_valid, [no_data] * len(values) if no_data is not None else None
 
 
 def encode_arrays(rasters: DataFrame, max_error: float = 0.0, *, version: int = container.LATEST, size_only: bool = False, check: bool = False) -> DataFrame:
@@ -78,11 +107,14 @@ def encode_arrays(rasters: DataFrame, max_error: float = 0.0, *, version: int =
                 a = np.array([np.nan if x is None else x for x in r["values"]]).reshape(shape).astype(dtype)
                 mask = None if r["valid"] is None else np.array(r["valid"], bool).reshape(-1, *shape[1:3])
                 mask = mask[0] if mask is not None and len(mask) == 1 else mask
+                if size_only:
+                    blobs.append(container.encoded_size(a, mask, max_error, no_data=r["no_data"], version=version))
+                    continue
                 blob = container.encode(a, mask, max_error, no_data=r["no_data"], version=version)
                 if check:
                     verify(a, blob, max_error)
                 blobs.append(blob)
-            out = pa.array([len(x) for x in blobs], pa.int64()) if size_only else pa.array(blobs, pa.binary())
+            out = pa.array(blobs, pa.int64()) if size_only else pa.array(blobs, pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), out], ["raster_id", "n_bytes" if size_only else "blob"])
 
     cols = ["raster_id", "n_bands", "n_rows", "n_cols", "n_depth", "dtype", "values", "valid", "no_data"]

@@ -539,10 +539,24 @@ def roundtrip_within_bound(spark, sf_dir):
     return m.select(F.lit(6).alias("dtype"), F.col("n_both").alias("n"), ((F.col("max_diff") <= 0.01 * 1.1) & (F.col("n_one") == 0)).alias("within"))
 
 
-@query()
+_EMB_WIDE = _EMB_COST.replace("// 8 AS t", "// 16 AS t").replace("PARTITION BY row // 8, col // 8", "PARTITION BY row // 16, col // 16")
+
+
+@query("SELECT 'r_emb/' || a.strip AS raster_id, 0 AS band, c.sweep, a.tiles_8, CASE WHEN c.low_rate THEN b.tiles_16 ELSE 0 END AS tiles_16, "
+       "CAST(103 + least(c.sweep, CASE WHEN c.low_rate AND b.tiles_16 <= a.tiles_8 THEN b.tiles_16 ELSE a.tiles_8 END) AS BIGINT) AS n_bytes FROM ("
+       + _EMB_COST + "SELECT ti // 32 AS strip, CAST(sum(bytes) AS BIGINT) AS tiles_8 FROM o GROUP BY 1) a JOIN ("
+       + _EMB_WIDE + "SELECT ti // 16 AS strip, CAST(sum(bytes) AS BIGINT) AS tiles_16 FROM o GROUP BY 1) b ON a.strip = b.strip JOIN ("
+       + _EMB_COST + "SELECT d.strip, 4 * d.n AS sweep, e.t * 8 < 1.5e0 * d.n AND e.t < 16 * d.n AS low_rate FROM (SELECT row // 256 AS strip, count(*) AS n FROM r_emb GROUP BY 1) d JOIN (SELECT ti // 32 AS strip, sum(bytes) AS t FROM o GROUP BY 1) e ON d.strip = e.strip) c ON a.strip = c.strip")
 def encode_size(spark, sf_dir):
-    b = codec.encode_pixels(strips(r.r_emb(spark, sf_dir)), dtypes.FLOAT32, 0.01)
-    return b.select("raster_id", F.octet_length("blob").cast("long").alias("n_bytes"))
+    """The size plan of a lossy raster: header, mask, ranges and flag take 103 bytes."""
+    p = codec.plan_bands(strips(r.r_emb(spark, sf_dir)), dtypes.FLOAT32, 0.01)
+    return p.select("raster_id", "band", "sweep", "tiles_8", "tiles_16", "n_bytes")
+
+
+@query()
+def band_plan(spark, sf_dir):
+    """All forms of an 8-bit raster: tiles of both sizes, prefix codes, the sweep, the mask; and the one chosen."""
+    return codec.plan_bands(strips(r.r_part(spark, sf_dir)), dtypes.UINT8, 0.5)
 
 
 @query(_with("r_li", """,
@@ -626,7 +640,7 @@ def arrays_roundtrip(spark, sf_dir):
 
 @query(_with("r_emb", "\nSELECT CAST(count(*) AS BIGINT) AS n, CAST(sum((CAST(abs(value) * 1000 AS BIGINT) * 2654435761) % 65536) AS BIGINT) AS total FROM r_emb").replace(", CAST(sum((CAST(abs(value) * 1000 AS BIGINT) * 2654435761) % 65536) AS BIGINT) AS total", ", true AS inverse"))
 def float_bits_reorder(spark, sf_dir):
-    """Exponent to the front, sign behind it, and back, in SQL bit operations over the floats' own bits."""
+    """Exponent to the front, sign behind it, and back, over the floats' own bits (numpy on Arrow batches: SQL has no view of a float's bits)."""
     from ..functions import planes
 
     def run(batches):

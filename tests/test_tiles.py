@@ -95,3 +95,24 @@ def test_speed_of_a_band():
     container.decode(raw)
     w = time.perf_counter()
     assert (u - t) * 4 < 1.0 and (w - u) * 4 < 1.0
+
+
+@pytest.mark.parametrize("code", range(8))
+@pytest.mark.parametrize("depth", [1, 3])
+def test_plan_is_what_encode_makes(code, depth):
+    rng = np.random.default_rng(code + depth)
+    integer, d, forms = dtypes.is_integer(code), dtypes.DTYPES[code], set()
+    smooth = (np.add.outer(np.arange(60), np.arange(70)) // 9 % 100)[:, :, None] + np.arange(depth)
+    rasters_ = [smooth, rng.integers(0, 100, smooth.shape), np.full(smooth.shape, 5), np.where(rng.random(smooth.shape) < 0.97, 3, 90), np.minimum(rng.geometric(0.4, smooth.shape), 120)]
+    if not integer:
+        rasters_ += [smooth / 7.0, rng.standard_normal(smooth.shape)]
+    for a in rasters_:
+        for mask in (None, rng.random(a.shape[:2]) < 0.8, np.zeros(a.shape[:2], bool)):
+            for e in (0.5, 2.0) if integer else (0.0, 0.01, 1.0):
+                for version in (6,) if depth > 1 else (2, 3, 4, 6):
+                    both = np.stack([a, a[::-1]]).astype(d)
+                    raw = container.encode(both, mask, e, version=version)
+                    plans = container.plan_encoding(both, mask, e, version=version)
+                    assert sum(p.n_bytes for p in plans) == len(raw) == container.encoded_size(both, mask, e, version=version)
+                    forms |= {p.form for p in plans}
+    assert "header" in forms and ({"codes", "delta codes"} & forms if code < 2 else "tiles 8" in forms or "tiles 16" in forms)
