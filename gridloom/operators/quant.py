@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dtypes
@@ -64,7 +64,7 @@ def raise_error(pix: DataFrame, max_error: float, *keys: str) -> DataFrame:
 
 
 def neighbour_pairs(pix: DataFrame) -> DataFrame:
-    """Valid pixels paired with their valid right and lower neighbours: keys, and both values as integers.
+    """Valid pixels as integers ``v`` with those to the ``right`` and ``below``; null where there is none.
 
     A pixel is sent to its own place and to those of its left and upper neighbours, so that a pair meets in one group of three at most.
     """
@@ -77,16 +77,27 @@ def neighbour_pairs(pix: DataFrame) -> DataFrame:
     sent = p.withColumn("at", F.explode(places)).select(*PLANE, "at.r", "at.c", "at.side", "v")
     side = lambda k: F.max(F.when(F.col("side") == k, F.col("v")))
     met = sent.groupBy(*PLANE, "r", "c").agg(side(0).alias("v"), side(1).alias("right"), side(2).alias("below")).where("v is not null")
-    return met.withColumn("other", F.explode(F.array("right", "below"))).where("other is not null").select(*PLANE, F.col("r").alias("row"), F.col("c").alias("col"), "v", "other")
+    return met.select(*PLANE, F.col("r").alias("row"), F.col("c").alias("col"), "v", "right", "below")
 
 
 def bitplane_flips(pix: DataFrame, n_bits: int) -> DataFrame:
-    """By plane and bit: neighbour pairs, and in how many the bit differs."""
-    x = F.col("v").bitwiseXOR(F.col("other"))
-    flips = [F.sum(F.shiftright(x, s).bitwiseAND(F.lit(1))).alias(f"f{s}") for s in range(n_bits)]
-    wide = neighbour_pairs(pix).groupBy(*PLANE).agg(F.count("*").alias("n_pairs"), *flips)
-    long = F.posexplode(F.array(*[F.col(f"f{s}") for s in range(n_bits)])).alias("bit", "n_flips")
-    return wide.select(*PLANE, "n_pairs", long)
+    """By plane and bit: neighbour pairs, and in how many the bit differs.
+
+    A raster of depth 1 without an invalid pixel counts the pairs of those pixels only that have both a right and
+    a lower neighbour; any other counts all pairs. The extent of a raster is that of its valid pixels, from row and column 0.
+    """
+    corner = F.col("right").isNotNull() & F.col("below").isNotNull()
+    differs = lambda other, s: F.coalesce(F.shiftright(F.col("v").bitwiseXOR(F.col(other)), s).bitwiseAND(F.lit(1)), F.lit(0))
+    flips = [differs("right", s) + differs("below", s) for s in range(n_bits)]
+    every = [F.sum(x).alias(f"f{s}") for s, x in enumerate(flips)] + [F.count("right").alias("p1"), F.count("below").alias("p2")]
+    corners = [F.sum(F.when(corner, x)).alias(f"g{s}") for s, x in enumerate(flips)] + [F.count_if(corner).alias("q")]
+    shape = [F.count("*").alias("n"), ((F.max("row") + 1).cast("long") * (F.max("col") + 1)).alias("cells")]
+    wide = neighbour_pairs(pix).groupBy(*PLANE).agg(*every, *corners, *shape)
+    alone = F.count("*").over(Window.partitionBy("raster_id", "band")) == 1  # a row a plane
+    wide = wide.withColumn("whole", alone & (F.col("n") == F.col("cells")))
+    pairs = F.when(F.col("whole"), 2 * F.col("q")).otherwise(F.col("p1") + F.col("p2"))
+    long = F.posexplode(F.array(*[F.when(F.col("whole"), F.coalesce(f"g{s}", F.lit(0))).otherwise(F.col(f"f{s}")) for s in range(n_bits)])).alias("bit", "n_flips")
+    return wide.select(*PLANE, pairs.alias("n_pairs"), long).where("n_pairs > 0")
 
 
 def noise_error(flips: DataFrame, eps: float = 0.01, least_pairs: int = 5000) -> DataFrame:

@@ -16,6 +16,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -38,7 +39,15 @@ class Written(WriterCommitMessage):
 
 
 def raster_name(path: str) -> str:
-    return os.path.splitext(os.path.basename(path))[0]
+    return unquote(os.path.splitext(os.path.basename(path))[0])
+
+
+def file_name(raster_id: str | None) -> str:
+    """A file's name for an id, which :func:`raster_name` turns back: slashes and the like are percent-escaped, and so is a dot that would hide the file."""
+    if not raster_id:
+        raise ValueError("a container needs a raster_id to be named by")
+    name = quote(raster_id, safe=" ()+,=@")
+    return "%2E" + name[1:] if name[0] == "." else name
 
 
 class BlobSource(DataSource):
@@ -111,19 +120,26 @@ class BlobWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Written:
         paths = []
         for row in iterator:
-            part = os.path.join(self.path, f".{uuid.uuid4().hex}.{row.raster_id}.part")
+            part = os.path.join(self.path, f".{uuid.uuid4().hex}.{file_name(row.raster_id)}.part")
             with open(part, "wb") as f:
                 f.write(row.blob)
             paths.append(part)
         return Written(paths)
 
     def commit(self, messages: list[Written | None]) -> None:
-        if self.overwrite:
-            for p in glob.glob(os.path.join(self.path, "*" + SUFFIX)):
-                os.remove(p)
+        """Refuse ids that come twice, put the new files in their places, and only then remove the others."""
+        parts = {}
         for part in (p for m in messages if m for p in m.paths):
-            name = os.path.basename(part).split(".", 2)[2].removesuffix(".part")
-            os.replace(part, os.path.join(self.path, name + SUFFIX))
+            name = os.path.basename(part).split(".", 2)[2].removesuffix(".part") + SUFFIX
+            if name in parts:
+                self.abort(messages)
+                raise ValueError(f"two rows have the raster_id {raster_name(name)!r}")
+            parts[name] = part
+        old = {os.path.basename(p) for p in glob.glob(os.path.join(self.path, "*" + SUFFIX))}
+        for name, part in parts.items():
+            os.replace(part, os.path.join(self.path, name))
+        for name in old - set(parts) if self.overwrite else ():
+            os.remove(os.path.join(self.path, name))
 
     def abort(self, messages: list[Written | None]) -> None:
         for part in (p for m in messages if m for p in m.paths):

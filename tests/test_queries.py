@@ -53,14 +53,21 @@ def test_depth_delta_cost_equals_encoded_tiles(spark, sf_dir):
     assert cost.depth_delta_costs(pix, dtypes.INT32).agg({"bytes": "sum"}).first()[0] + _empty(spark, m, 3, 8) == size
 
 
-def test_noise_error_agrees_with_encoder(spark):
+@pytest.mark.parametrize("invalid", [0, 1, 700])
+@pytest.mark.parametrize("depth", [1, 2])
+def test_noise_error_agrees_with_encoder(spark, invalid, depth):
     rng = np.random.default_rng(5)
     a = (np.add.outer(np.arange(80), np.arange(90)) * 64 + rng.integers(0, 16, (80, 90))).astype("<i4")
-    rows = [("x", 0, i, j, 0, float(a[i, j]), True) for i in range(80) for j in range(90)]
-    # one pixel is invalid, so that both count the same pairs
     mask = np.ones(a.shape, bool)
-    mask[0, 0] = False
-    rows[0] = (*rows[0][:6], False)
+    mask.ravel()[rng.choice(a.size - 1, invalid, replace=False)] = False  # not the last pixel, which gives the extent
+    rows = [("x", 0, i, j, d, float(a[i, j] + d), bool(mask[i, j])) for i in range(80) for j in range(90) for d in range(depth)]
     pix = spark.createDataFrame(rows, codec.PIXELS)
-    found = quant.noise_error(quant.bitplane_flips(pix, 32), 0.1).first()["error"]
-    assert found == container.noise_error(a[:, :, None], mask, 0.1) > 0
+    both = np.stack([a + d for d in range(depth)], axis=2)
+    flips = quant.bitplane_flips(pix, 32)
+    u = both.astype(np.int64)
+    right, down = mask[:, 1:] & mask[:, :-1], mask[1:] & mask[:-1]
+    n = 2 * 79 * 89 if depth == 1 and not invalid else int(right.sum() + down.sum())
+    assert {r.n_pairs for r in flips.select("n_pairs").distinct().collect()} == {n}
+    assert quant.noise_error(flips, 0.1).first()["error"] == container.noise_error(u.astype("<i4"), mask, 0.1) > 0
+
+

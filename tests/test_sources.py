@@ -103,3 +103,21 @@ def test_replace_nan_and_stand_in(spark):
     z = spark.createDataFrame([(5.0,), (-3.0,)], "z double")
     got = [r[0] for r in z.select(validity.stand_in(F.col("z"), F.lit(0.01), False, -3e38)).collect()]
     assert got == [container.new_no_data(5.0, 0.01, False, dtypes.FLOAT64), container.new_no_data(-3.0, 0.01, False, dtypes.FLOAT64)]
+
+
+def test_sink_escapes_ids_and_refuses_twins(spark, tmp_path):
+    register = __import__("gridloom.sources.blobs", fromlist=["register"]).register
+    register(spark)
+    blob = bytearray(container.encode(np.arange(12, dtype="<i4").reshape(3, 4)))
+    ids = ["r/0", "r/1", "..", ".x", "a%2Fb", "ü b", "c.grid"]
+    df = spark.createDataFrame([(i, blob) for i in ids], "raster_id string, blob binary")
+    at = str(tmp_path / "out")
+    df.write.format("gridloom").mode("append").save(at)
+    read = lambda: sorted(r.raster_id for r in spark.read.format("gridloom").load(at).collect())
+    assert read() == sorted(ids)
+    twins = spark.createDataFrame([("x", blob), ("x", blob)], "raster_id string, blob binary")
+    with pytest.raises(Exception, match="two rows have the raster_id"):
+        twins.write.format("gridloom").mode("overwrite").save(at)
+    assert read() == sorted(ids) and not [p for p in (tmp_path / "out").iterdir() if p.name.endswith(".part")]
+    df.where("raster_id = 'r/0'").write.format("gridloom").mode("overwrite").save(at)
+    assert read() == ["r/0"]
